@@ -66,13 +66,13 @@ def binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, data
 
 
-def runs(col: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(col: pa.Array, limit: int = RUN_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, offsets, bytes) of runs of whole texts, of
-    about limit bytes together unless one text alone is longer."""
+    about limit bytes together unless one text alone is longer, and so many rows at most."""
     off, data = binary(col)
     i, n = 0, len(off) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + rows)
         yield i, j, off[i : j + 1] - off[i], data[off[i] : off[j]]
         i = j
 
@@ -129,6 +129,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span(prefix(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
+def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, extra: list[str]) -> pa.Table:
+    """The whole texts of a few documents, brought to the driver; ids has an explicit limit."""
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in docs.columns if c in extra and c not in (id_col, text_col)])
+    return picked.join(F.broadcast(ids), "_id").toArrow()
+
+
 def batch(cols: dict[str, object], types: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:
     arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=(types or {}).get(k)) for k, v in cols.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(cols))

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chats, secrets
+from . import bpe, chats, decontaminate, langid, near, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
+    "op2_quality": quality.query,
     "op3_bpe": bpe.query,
+    "op6_near": near.query,
     "op7_chats": chats.query,
+    "op8_langid": langid.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
