@@ -134,6 +134,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
     return df.withColumn("added", F.array_sort(F.concat(*added))).select("doc_id", "base", "added")
 
 
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", classes: tuple[EntropyClass, ...] = CLASSES) -> DataFrame:
+    """docs with each run of overlapping spans replaced by mark; every row and column stays.
+
+    A text without spans, null included, is left as it is."""
+    given = docs.columns
+    plain = [f"c{i}" for i in range(len(given))]  # names that clash with nothing
+    df = docs.toDF(*plain)
+    text = plain[given.index(text_col)]
+    found = scan(df.select(F.struct(*plain).alias("row"), F.col(text).alias("body")), "row", "body", classes)
+    body = f"doc_id.{text}"
+    merged = f"""
+      aggregate(array_sort(concat(base, added)), named_struct('at', 0, 'out', ''),
+        (a, x) -> IF(x.e <= a.at, a, named_struct('at', x.e, 'out', concat(a.out,
+            IF(x.s < a.at, '', concat(substring({body}, a.at + 1, x.s - a.at), {_lit(mark)}))))),
+        a -> concat(a.out, substring({body}, a.at + 1)))"""
+    new = F.expr(f"CASE WHEN size(base) + size(added) = 0 THEN {body} ELSE {merged} END")
+    return found.select(*[(new if p == text else F.col(f"doc_id.{p}")).alias(g) for p, g in zip(plain, given, strict=True)])
+
+
 def _joined(spans: str, kinds: list[str]) -> str:
     names = "array(" + ", ".join(map(_lit, kinds)) + ")"
     return f"array_join(transform({spans}, x -> concat(element_at({names}, x.k + 1), ':', x.s, ':', x.e)), ',')"
