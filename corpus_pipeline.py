@@ -1,15 +1,67 @@
-"""A corpus pipeline of five stages, each of which applies one operator to all that the stage before it kept."""
+"""A corpus pipeline of five stages, each of which applies one operator to all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir), docs having the columns of the table
+documents. The first four return rows of docs with those columns; the last returns
+doc_id, n_tokens and digests of the ids and of the bytes that they decode to.
+Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import posixpath
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tempora.llm import bpe, decontaminate, near, quality, secrets
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject. Labels belong to the corpus; the model is learned from those of docs."""
+    return quality.keep(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies: five words, similarity 0.8."""
+    return near.dedup(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their texts replaced by [SECRET]."""
+    return secrets.redact(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, *bpe.default_vocabulary())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near", near_stage),
+    ("benchmark", benchmark_stage),
+    ("secrets", secrets_stage),
+    ("encode", encode_stage),
+]
+
+#: Fitted models and similarity components aren't expressible; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared checkpoint folder, or a temporary one where that is unset, as in tests."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline")
+    return posixpath.join(top, f"pipeline-{uuid.uuid4().hex}")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), _folder(spark)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
