@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tempora.plans import suite
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(suite.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(suite.ORACLES)
