@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from . import common as C
 from .components import components
 
 M, ROWS, BITS = 128, 4, 10
-ESTIMATE = 0.66
+ESTIMATE = 0.7
 BLOCK, ROUNDS = 512, 3
 
 _rng = np.random.default_rng(20)
@@ -136,44 +135,85 @@ def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).mapInArrow(run, "id long, hashes array<long>")
 
 
-def _propose(last: bool):
-    """Candidates between the components of a bucket, or of a pair of its blocks, where this bucket is the first that both share."""
+def _pairs(group: np.ndarray, side: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs within a group that differ in component and, where a group has both, in side."""
+    both = np.zeros(len(group), bool)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    both = np.repeat(np.maximum.reduceat(side, first) > 0, np.diff(np.r_[first, len(group)]))
+    left, step = np.arange(len(group)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(group)]
+        left = left[group[left] == group[left + step]]
+        ok = (comp[left] != comp[left + step]) & (~both[left] | (side[left] != side[left + step]))
+        if ok.any():
+            yield left[ok], left[ok] + step
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = frame["id"].to_numpy(), frame["component"].to_numpy()
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), M)
-        side, here = frame["side"].to_numpy(), frame["bucket"].iloc[0]
-        one, two = (side == 0).nonzero()[0], (side == 1).nonzero()[0]
-        within = not len(two)
-        two = one if within else two
+
+def _propose(turn: int):
+    """Candidates between the components of buckets, or of pairs of their blocks; rows come sorted by bucket, i, j.
+
+    A pair is a matter of the first bucket that both share. In all turns but the
+    last a class proposes its best partner, in each turn by other registers."""
+    ranked = (slice(0, M), slice(0, M // 2), slice(0, M))[min(turn, 2)]
+    last = turn == ROUNDS - 1
+
+    def some(bucket: np.ndarray, group: np.ndarray, side: np.ndarray, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         band = bands(sig)
-        at = int((band[0] == here).argmax())
+        at = (band == bucket[:, None]).argmax(1)
         left, right, est = [], [], []
-        for lo in range(0, len(one), 64):
-            x = one[lo : lo + 64]
-            share = (sig[x][:, None, :] == sig[two][None, :, :]).mean(2)
-            share = (share - CHANCE) / (1 - CHANCE)
-            share[comp[x][:, None] == comp[two][None, :]] = -1
-            if last:
-                if within:
-                    share[x[:, None] >= two[None, :]] = -1
-                i, j = (share >= ESTIMATE).nonzero()
-                sooner = (band[x[i]][:, :at] == band[two[j]][:, :at]).any(1)
-                i, j = i[~sooner], j[~sooner]
-            else:
-                i, j = np.arange(len(x)), share.argmax(1)
-                ok = share[i, j] >= ESTIMATE
-                i, j = i[ok], j[ok]
-            left.append(ids[x[i]])
-            right.append(ids[two[j]])
-            est.append(share[i, j])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"x": a, "a": np.minimum(a, b), "b": np.maximum(a, b), "est": np.concatenate(est)})
+        for x, y in _pairs(group, side, comp):
+            for lo in range(0, len(x), 1 << 14):
+                i, j = x[lo : lo + (1 << 14)], y[lo : lo + (1 << 14)]
+                mine = ((band[i] == band[j]).argmax(1)) == at[i]
+                i, j = i[mine], j[mine]
+                same = sig[i] == sig[j]
+                share = (same.mean(1) - CHANCE) / (1 - CHANCE)
+                ok = share >= ESTIMATE
+                left.append(i[ok])
+                right.append(j[ok])
+                est.append(share[ok] if ranked.stop == M else same[ok][:, ranked].mean(1))
+        i, j, e = (np.concatenate([*v, np.zeros(0, t)]).astype(t) for v, t in ((left, int), (right, int), (est, float)))
+        x, a, b = np.r_[ids[i], ids[j]], np.r_[ids[i], ids[j]], np.r_[ids[j], ids[i]]
+        if last:
+            x, a, b, e = ids[i], ids[i], ids[j], e
+        else:
+            e = np.r_[e, e]
+            order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -e, x))
+            order = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(order) else order
+            x, a, b, e = x[order], a[order], b[order], e[order]
+        return C.batch({"x": x, "a": np.minimum(a, b), "b": np.maximum(a, b), "est": e})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                p = pa.Table.from_batches([b.slice(lo, 4096)])
+                held = p if held is None else pa.concat_tables([held, p])
+                if held.num_rows < 4096:
+                    continue
+                held = held.combine_chunks()
+                keys = [held.column(n).to_numpy() for n in ("bucket", "i", "j")]
+                tail = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+                end = int(tail[-1]) + 1 if len(tail) else 0  # the last group may go on
+                if end:
+                    yield part(held.slice(0, end))
+                    held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield part(held.combine_chunks())
+
+    def part(p: pa.Table) -> pa.RecordBatch:
+        p = p.combine_chunks()
+        bucket, i, j, ids, comp, side = (p.column(n).to_numpy() for n in ("bucket", "i", "j", "id", "component", "side"))
+        off, data = C.binary(p.column("sig"))
+        sig = data[off[0] : off[-1]].copy().view(np.uint16).reshape(p.num_rows, M)
+        group = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        return some(bucket, group, side, ids, comp, sig)
 
     return run
 
 
-def candidates(members: DataFrame, labels: DataFrame, last: bool) -> DataFrame:
+def candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a bucket and may be similar enough."""
     held = members.join(labels, "id")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
@@ -184,8 +224,8 @@ def candidates(members: DataFrame, labels: DataFrame, last: bool) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "sig", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     )
-    pairs = dealt.groupBy("bucket", "i", "j").applyInPandas(_propose(last), "x long, a long, b long, est double")
-    if last:
+    pairs = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn), "x long, a long, b long, est double")
+    if turn == ROUNDS - 1:
         return pairs.select("a", "b").distinct()
     best = pairs.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p"))
     return best.select("p.a", "p.b").distinct()
@@ -220,7 +260,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     held = C.cut(sets(texts, k, id_col, text_col).dropDuplicates(["id"]))
     labels, edges = ids.withColumn("component", F.col("id")), None
     for turn in range(ROUNDS):
-        found = C.cut(verified(candidates(members, labels, turn == ROUNDS - 1), held, percent))
+        found = C.cut(verified(candidates(members, labels, turn), held, percent))
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)
