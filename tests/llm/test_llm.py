@@ -141,10 +141,10 @@ def test_lm_is_a_distribution(texts):
         syms, _ = lm.stream(np.array([0, len(raw)]), raw, symbols)
         state, total = 0, 0.0
         for i, s in enumerate(syms.tolist()):
-            total += tree.logp[state * lm.SIZE + s] if i >= lm.DEPTH else 0
+            total += float(tree.logp[state * lm.SIZE + s]) if i >= lm.DEPTH else 0
             state = tree.delta[state * lm.SIZE + s]
         total += tree.escape * int((symbols[C.LOWER[raw]] == lm.ESC).sum())
-        assert abs(total - lm.score(tree, symbols, np.array([0, len(raw)]), raw)[0]) < 1e-2 + 1e-5 * abs(total)
+        assert abs(total - lm.score(tree, symbols, np.array([0, len(raw)]), raw)[0]) < 1e-6 + 1e-9 * abs(total)
 
 
 def repeated(all_texts, size=400):
