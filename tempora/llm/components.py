@@ -18,23 +18,28 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, node): a star for each component of the edges (a, b), around its least node."""
+    nodes, where = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = where[: len(a)], where[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, label[x], label[y])
+        np.minimum.at(least, label[y], label[x])
+        least = least[least]
+        least = np.minimum(least, least[label])
+        if (least == label).all():
+            break
+        label = least
+    out = label != np.arange(len(nodes))
+    return nodes[label[out]], nodes[out]
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        nodes, where = np.unique(np.r_[a, c], return_inverse=True)
-        x, y = where[: len(a)], where[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            least = label.copy()
-            np.minimum.at(least, label[x], label[y])
-            np.minimum.at(least, label[y], label[x])
-            least = least[least]
-            least = np.minimum(least, least[label])
-            if (least == label).all():
-                break
-            label = least
-        out = label != np.arange(len(nodes))
-        yield C.batch({"a": nodes[label[out]], "b": nodes[out]})
+        centre, node = stars(b.column(0).to_numpy(), b.column(1).to_numpy())
+        yield C.batch({"a": centre, "b": node})
 
 
 def components(edges: DataFrame) -> DataFrame:

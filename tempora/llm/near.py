@@ -12,8 +12,10 @@ their full shingle sets.
 Only links that matter are looked for: documents with equal sets are one class
 from the start, and a pair within a component that is already connected is never
 verified. In the first rounds every class proposes its best candidate in each
-bucket outside its component; in the last one all that remain are proposed.
-Large buckets are dealt out in pairs of blocks of BLOCK classes.
+bucket outside its component. In the last one all candidates that remain are
+gathered to clusters, and the sets of a cluster are verified in blocks, so that no
+table holds the pairs of a large group. Large buckets are dealt out in pairs of
+blocks of BLOCK classes, too.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, stars
 
 M, ROWS, BITS = 128, 4, 10
 ESTIMATE = 0.7
 BLOCK, ROUNDS = 512, 3
+#: Shingles of a block of sets that are verified against another block's.
+BLOCK_HASHES = 1 << 16
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 2**63, M, dtype=np.int64).astype(np.uint64)
@@ -154,7 +159,8 @@ def _propose(turn: int):
     """Candidates between the components of buckets, or of pairs of their blocks; rows come sorted by bucket, i, j.
 
     A pair is a matter of the first bucket that both share. In all turns but the
-    last a class proposes its best partner, in each turn by other registers."""
+    last a class proposes its best partner, in each turn by other registers; in the
+    last one the candidates of a batch are told as stars of their components."""
     ranked = (slice(0, M), slice(0, M // 2), slice(0, M))[min(turn, 2)]
     last = turn == ROUNDS - 1
 
@@ -176,7 +182,8 @@ def _propose(turn: int):
         i, j, e = (np.concatenate([*v, np.zeros(0, t)]).astype(t) for v, t in ((left, int), (right, int), (est, float)))
         x, a, b = np.r_[ids[i], ids[j]], np.r_[ids[i], ids[j]], np.r_[ids[j], ids[i]]
         if last:
-            x, a, b, e = ids[i], ids[i], ids[j], e
+            a, b = stars(ids[i], ids[j])
+            x, e = a, np.ones(len(a))
         else:
             e = np.r_[e, e]
             order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -e, x))
@@ -214,7 +221,7 @@ def _propose(turn: int):
 
 
 def candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a bucket and may be similar enough."""
+    """Pairs (a, b) of classes of different components that share a bucket and may be similar enough; in the last turn, stars of them."""
     held = members.join(labels, "id")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     dealt = (
@@ -239,6 +246,86 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def _blocks(percent: int):
+    """Stars of the links between components in groups of rows (key, id, component, side, hashes), sorted by key.
+
+    Rows of side 0 are held against those of side 1, or against each other where a group has no side 1."""
+
+    def links(p: pa.Table) -> pa.RecordBatch:
+        p = p.combine_chunks()
+        key, ids, comp, side = (p.column(n).to_numpy() for n in ("key", "id", "component", "side"))
+        lists = p.column("hashes").chunk(0)
+        size = np.diff(lists.offsets.to_numpy())
+        n = len(ids)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
+        both = np.maximum.reduceat(side, first)[group] > 0
+        row = np.repeat(np.arange(n), size)
+        h = C.mix(lists.flatten().to_numpy().view(np.uint64) + group[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        mine, other = (~both | (side == 0))[row], (~both | (side == 1))[row]
+        order = np.argsort(h[other], kind="stable")
+        yh, yr = h[other][order], row[other][order]
+        xh, xr = h[mine], row[mine]
+        lo = np.searchsorted(yh, xh, "left")
+        many = np.searchsorted(yh, xh, "right") - lo
+        upto = np.r_[0, np.cumsum(np.bincount(xr, many, minlength=n))]
+        a, b, r0 = [], [], 0
+        while r0 < n:
+            r1 = max(r0 + 1, int(np.searchsorted(upto, upto[r0] + 2_000_000, "right")) - 1)
+            e = slice(*np.searchsorted(xr, [r0, r1]))
+            m = many[e]
+            post = np.repeat(lo[e] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            code, common = np.unique(np.repeat(xr[e], m) * n + yr[post], return_counts=True)
+            x, y = code // n, code % n
+            ok = (comp[x] != comp[y]) & (100 * common >= percent * (size[x] + size[y] - common))
+            a.append(ids[x[ok]])
+            b.append(ids[y[ok]])
+            r0 = r1
+        centre, node = stars(np.concatenate(a), np.concatenate(b))
+        return C.batch({"a": centre, "b": node})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                held.append(p := pa.Table.from_batches([b.slice(lo, 128)]))
+                size += len(p.column("hashes").chunk(0).flatten())
+                if size < 2 * BLOCK_HASHES:
+                    continue
+                whole = pa.concat_tables(held)
+                key = whole.column("key").to_numpy()
+                end = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                if end:
+                    yield links(whole.slice(0, end))
+                    held = [whole.slice(end)]
+                    size = int(pc.sum(pc.list_value_length(held[0].column("hashes"))).as_py())
+        if held and sum(p.num_rows for p in held):
+            yield links(pa.concat_tables(held))
+
+    return run
+
+
+def verified_in_blocks(pairs: DataFrame, labels: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Stars of the links between components of the clusters that the pairs (a, b) make.
+
+    A cluster's components of many classes have blocks of their own, which aren't held
+    against each other; the other components' classes are dealt to blocks together."""
+    member = components(pairs).toDF("id", "cluster").join(labels, "id").join(held.select("id", F.size("hashes").cast("long").alias("size")), "id")
+    member = C.cut(member.select("id", "cluster", "component", "size"))
+    count = [F.sum("rows").alias("rows"), F.sum("size").alias("size")]
+    parts = member.groupBy("cluster", "component").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    parts = parts.withColumn("tag", F.when((F.col("rows") > BLOCK) | (F.col("size") > BLOCK_HASHES), F.col("component")))
+    blocks = parts.groupBy("cluster", "tag").agg(*count).withColumn("n", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("size") / BLOCK_HASHES)).cast("int"))
+    plan = blocks.groupBy("cluster").agg(F.collect_list(F.struct("tag", "n")).alias("plan"))
+    own = member.join(plan, "cluster").withColumn("tag", F.expr("get(filter(plan, p -> p.tag = component), 0).tag"))
+    own = own.withColumn("own", F.expr("struct(tag, pmod(xxhash64(id), get(filter(plan, p -> p.tag <=> tag), 0).n) AS k)"))
+    others = "flatten(transform(filter(plan, p -> p.tag IS NULL OR tag IS NULL OR p.tag != tag), p -> transform(sequence(0L, p.n - 1L), k -> struct(p.tag AS tag, k AS k))))"
+    dealt = own.select("id", "cluster", "component", "own", F.explode(F.expr(others)).alias("other"))
+    dealt = dealt.select("id", "component", F.expr("xxhash64(cluster, least(own, other), greatest(own, other))").alias("key"), F.expr("IF(own <= other, 0, 1)").alias("side"))
+    groups = dealt.join(held, "id").select("key", "id", "component", "side", "hashes")
+    return groups.repartition("key").sortWithinPartitions("key").mapInArrow(_blocks(percent), "a long, b long")
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -260,7 +347,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     held = C.cut(sets(texts, k, id_col, text_col).dropDuplicates(["id"]))
     labels, edges = ids.withColumn("component", F.col("id")), None
     for turn in range(ROUNDS):
-        found = C.cut(verified(candidates(members, labels, turn), held, percent))
+        pairs = candidates(members, labels, turn)
+        found = C.cut(verified(pairs, held, percent) if turn < ROUNDS - 1 else verified_in_blocks(pairs, labels, held, percent))
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)

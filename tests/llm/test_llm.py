@@ -226,6 +226,24 @@ def test_near_chain_and_large_bucket(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in similar(rows, 4).items()}
 
 
+def test_near_group_around_the_threshold(spark, monkeypatch):
+    """Many copies of one text, some linked, some not, verified in blocks by shingles and by classes."""
+    rng, base = random.Random(8), [f"w{i}" for i in range(120)]
+    rows = {}
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 9])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows[i] = " ".join(w)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    want = {i: c for i, (_, c) in similar(rows, 4).items()}
+    assert 10 < sum(c == i for i, c in want.items()) < 150
+    for block, shingles in ((16, near.BLOCK_HASHES), (512, 1500)):
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "BLOCK_HASHES", shingles)
+        assert {r.doc_id: r.component_id for r in near.link(df, 4).collect()} == want
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
