@@ -153,8 +153,8 @@ class Scan:
         self.family, self.group, self.base = Family(), None, 0
         self.places: list[tuple[np.ndarray, ...]] = []
 
-    def feed(self, group: np.ndarray, text: list[bytes], place: np.ndarray, hot: np.ndarray, start: np.ndarray, k1: np.ndarray, k2: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """start: the text's own place in its document. Yields (k1, k2, s, e): strings [s, e) that occur again."""
+    def feed(self, group: np.ndarray, text: list[bytes], place: np.ndarray, hot: np.ndarray, start: np.ndarray, number: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """start: the text's own place in its document. Yields (number, s, e): strings [s, e) that occur again."""
         goes_on = self.group is not None and len(group) and group[0] == self.group
         if not goes_on:
             self.family = Family()
@@ -173,18 +173,18 @@ class Scan:
         owner = np.arange(len(entries)) + self.base
         if not goes_on:
             self.places, owner, self.base = [], np.arange(len(entries)), 0
-        self.places.append((k1[rows], k2[rows], start[rows] + at, single[rows]))
+        self.places.append((number[rows], start[rows] + at, single[rows]))
         self.base += len(entries)
         again = np.unique(self.family.add(entries, owner))
         if len(again):
-            a, b, s, open_ = (np.concatenate(x)[again] for x in zip(*self.places, strict=True))
-            a, b, s = a[open_], b[open_], s[open_]
-            order = np.lexsort((s, b, a))
-            a, b, s = a[order], b[order], s[order]
+            a, s, open_ = (np.concatenate(x)[again] for x in zip(*self.places, strict=True))
+            a, s = a[open_], s[open_]
+            order = np.lexsort((s, a))
+            a, s = a[order], s[order]
             if len(a):
-                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] > s[:-1] + LENGTH)]
+                new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] > s[:-1] + LENGTH)]
                 last = np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]
-                yield C.batch({"k1": a[new], "k2": b[new], "s": s[new], "e": s[last] + LENGTH})
+                yield C.batch({"number": a[new], "s": s[new], "e": s[last] + LENGTH})
         self.group = group[-1] if len(group) else self.group
 
 
@@ -219,33 +219,33 @@ def _bodies(body: pa.Array, size: pa.Array, limit: int = C.RUN_BYTES) -> Iterato
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """k1, k2, spans (array of s, e; they may overlap) of the texts with strings that occur in other distinct texts or twice in one."""
+    """number, spans (array of s, e; they may overlap) of the texts with strings that occur in other distinct texts or twice in one."""
 
     def print_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, off, data in _bodies(b.column(3), b.column(2)):
+            for lo, _, off, data in _bodies(b.column(2), b.column(1)):
                 text, place, core, seg = anchors(off, data)
-                k1, k2 = (b.column(i).to_numpy()[lo + text] for i in (0, 1))
-                yield C.batch({"core": core.view(np.int64), "seg": seg.view(np.int64), "k1": k1, "k2": k2, "at": (place - off[text]).astype(np.int32), "size": np.diff(off)[text].astype(np.int32)})
+                number = b.column(0).to_numpy()[lo + text]
+                yield C.batch({"core": core.view(np.int64), "seg": seg.view(np.int64), "number": number, "at": (place - off[text]).astype(np.int32), "size": np.diff(off)[text].astype(np.int32)})
 
-    own = texts.where(f"size >= {LENGTH}").select("k1", "k2", "size", "body")
-    prints = own.mapInArrow(print_, "core long, seg long, k1 long, k2 long, at int, size int")
-    classes = C.store(prints.groupBy("core", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")))
+    own = texts.where(f"size >= {LENGTH}").select("number", "size", "body")
+    prints = own.mapInArrow(print_, "core long, seg long, number long, at int, size int")
+    classes = C.store(prints.groupBy("core", "seg").agg(F.count("*").alias("n"), F.min(F.struct("number", "at")).alias("one")))
     groups = classes.groupBy("core").agg(F.count("*").alias("segs"), F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
     whole = prints.join(classes.where("n > 1").select("core", "seg"), ["core", "seg"], "left_semi").select(
-        "k1", "k2", F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("s"), F.least(F.col("at") + LENGTH, F.col("size")).cast("long").alias("e")
+        "number", F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("s"), F.least(F.col("at") + LENGTH, F.col("size")).cast("long").alias("e")
     )
     unlike = classes.join(groups.where("segs > 1 AND least = 1").select("core", "segs"), "core").select("core", "n", "segs", "one.*")
-    wanted = unlike.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", (F.col("segs") > HOT).alias("hot"), (F.col("n") == 1).alias("single"))).alias("want"))
+    wanted = unlike.groupBy("number").agg(F.collect_list(F.struct("core", "at", (F.col("segs") > HOT).alias("hot"), (F.col("n") == 1).alias("single"))).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, off, data in _bodies(b.column(3), b.column(2)):
-                rows = {k: [] for k in ("group", "text", "place", "hot", "start", "k1", "k2", "single")}
+            for lo, hi, off, data in _bodies(b.column(2), b.column(1)):
+                rows = {k: [] for k in ("group", "text", "place", "hot", "start", "number", "single")}
                 for i in range(lo, hi):
                     raw = data[off[i - lo] : off[i - lo + 1]].tobytes()
-                    k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                    for w in b.column(4)[i].as_py():
+                    number = b.column(0)[i].as_py()
+                    for w in b.column(3)[i].as_py():
                         a, z = max(0, w["at"] - REACH), min(len(raw), w["at"] + LENGTH)
                         parts = [(w["core"], a, z, w["at"] - a)]
                         if w["hot"]:
@@ -257,11 +257,11 @@ def repeats(texts: DataFrame) -> DataFrame:
                                     x = max(0, s)
                                     parts.append((int.from_bytes(digest, "little", signed=True), x, min(len(raw), s + LENGTH + STEP), s - x))
                         for group, x, y, place in parts:
-                            for name, v in zip(rows, (group, raw[x:y], place, w["hot"], x, k1, k2, w["single"]), strict=True):
+                            for name, v in zip(rows, (group, raw[x:y], place, w["hot"], x, number, w["single"]), strict=True):
                                 rows[name].append(v)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("group", pa.int64()), ("text", pa.binary()), ("place", pa.int32()), ("hot", pa.bool_()), ("start", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("single", pa.bool_())]))
+                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("group", pa.int64()), ("text", pa.binary()), ("place", pa.int32()), ("hot", pa.bool_()), ("start", pa.int32()), ("number", pa.int64()), ("single", pa.bool_())]))
 
-    segments = own.join(wanted, ["k1", "k2"]).mapInArrow(cut, "group long, text binary, place int, hot boolean, start int, k1 long, k2 long, single boolean")
+    segments = own.join(wanted, "number").mapInArrow(cut, "group long, text binary, place int, hot boolean, start int, number long, single boolean")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, kept = Scan(), None
@@ -278,14 +278,14 @@ def repeats(texts: DataFrame) -> DataFrame:
         if kept is not None:
             yield from _fed(scan, kept)
 
-    found = segments.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "k1 long, k2 long, s long, e long")
-    return whole.unionByName(found).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    found = segments.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "number long, s long, e long")
+    return whole.unionByName(found).groupBy("number").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _fed(scan: Scan, p: pa.Table) -> Iterator[pa.RecordBatch]:
     if p.num_rows:
-        col = {n: p.column(n).to_numpy() for n in ("group", "place", "hot", "start", "k1", "k2", "single")}
-        yield from scan.feed(col["group"], p.column("text").to_pylist(), col["place"].astype(np.int64), col["hot"].astype(bool), col["start"].astype(np.int64), col["k1"], col["k2"], col["single"].astype(bool))
+        col = {n: p.column(n).to_numpy() for n in ("group", "place", "hot", "start", "number", "single")}
+        yield from scan.feed(col["group"], p.column("text").to_pylist(), col["place"].astype(np.int64), col["hot"].astype(bool), col["start"].astype(np.int64), col["number"], col["single"].astype(bool))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
@@ -297,7 +297,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full
     """
     C.ready(docs.sparkSession)
     rows, texts = distinct_texts(docs, id_col, text_col)
-    texts = C.store(texts)
+    texts = C.store(texts.withColumn("number", F.monotonically_increasing_id()))
     spans = repeats(texts)
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
 
@@ -324,7 +324,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full
                 cols = {"k1": b.column(0).slice(lo, hi - lo), "k2": b.column(1).slice(lo, hi - lo)} | {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.binary() if k == "kept" else pa.int64()) for k, v in out.items() if full or k != "kept"}
                 yield C.batch(cols)
 
-    done = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "copies", "size", "body", "spans").mapInArrow(run, schema)
+    done = texts.join(spans, "number", "left").select("k1", "k2", "copies", "size", "body", "spans").mapInArrow(run, schema)
     return rows.join(done, ["k1", "k2"]).drop("k1", "k2")
 
 
