@@ -11,8 +11,8 @@ their full shingle sets.
 
 Only links that matter are looked for: documents with equal sets are one class
 from the start, and a pair within a component that is already connected is never
-verified. In the first rounds every class proposes its best candidate in each
-bucket outside its component. In the last one all candidates that remain are
+verified. In the first round every class proposes its best candidate in each
+bucket. In the last one all candidates that remain between components are
 gathered to clusters, and the sets of a cluster are verified in blocks, so that no
 table holds the pairs of a large group. Large buckets are dealt out in pairs of
 blocks of BLOCK classes, too.
@@ -33,7 +33,7 @@ from .components import components, stars
 
 M, ROWS, BITS = 128, 4, 10
 ESTIMATE = 0.7
-BLOCK, ROUNDS = 512, 3
+BLOCK, ROUNDS = 512, 2
 #: Shingles of a block of sets that are verified against another block's.
 BLOCK_HASHES = 1 << 16
 
@@ -159,9 +159,8 @@ def _propose(turn: int):
     """Candidates between the components of buckets, or of pairs of their blocks; rows come sorted by bucket, i, j.
 
     A pair is a matter of the first bucket that both share. In all turns but the
-    last a class proposes its best partner, in each turn by other registers; in the
-    last one the candidates of a batch are told as stars of their components."""
-    ranked = (slice(0, M), slice(0, M // 2), slice(0, M))[min(turn, 2)]
+    last a class proposes its best partner; in the last one the candidates of a
+    batch are told as stars of their components."""
     last = turn == ROUNDS - 1
 
     def some(bucket: np.ndarray, group: np.ndarray, side: np.ndarray, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
@@ -178,7 +177,7 @@ def _propose(turn: int):
                 ok = share >= ESTIMATE
                 left.append(i[ok])
                 right.append(j[ok])
-                est.append(share[ok] if ranked.stop == M else same[ok][:, ranked].mean(1))
+                est.append(share[ok])
         i, j, e = (np.concatenate([*v, np.zeros(0, t)]).astype(t) for v, t in ((left, int), (right, int), (est, float)))
         x, a, b = np.r_[ids[i], ids[j]], np.r_[ids[i], ids[j]], np.r_[ids[j], ids[i]]
         if last:
@@ -220,7 +219,7 @@ def _propose(turn: int):
     return run
 
 
-def candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a bucket and may be similar enough; in the last turn, stars of them."""
     held = members.join(labels, "id")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
@@ -229,9 +228,10 @@ def candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
         .withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n").cast("long")).cast("int")).otherwise(0))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "sig", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     )
-    pairs = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn), "x long, a long, b long, est double")
+    signed = dealt.join(reps, "id").select("bucket", "i", "j", "id", "component", "sig", "side")
+    pairs = signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn), "x long, a long, b long, est double")
     if turn == ROUNDS - 1:
         return pairs.select("a", "b").distinct()
     best = pairs.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p"))
@@ -341,13 +341,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     reps = filled.join(classes.withColumnRenamed("id", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
     spread = buckets(reps)
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = C.cut(spread.join(shared, "bucket").join(reps, "id").select("id", "bucket", "sig"))
+    members = C.store(spread.join(shared, "bucket").select("id", "bucket"))
     ids = C.cut(members.select("id").distinct())
+    reps = C.store(reps.join(ids, "id", "left_semi"))
     texts = docs.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi")
     held = C.cut(sets(texts, k, id_col, text_col).dropDuplicates(["id"]))
     labels, edges = ids.withColumn("component", F.col("id")), None
     for turn in range(ROUNDS):
-        pairs = candidates(members, labels, turn)
+        pairs = candidates(members, reps, labels, turn)
         found = C.cut(verified(pairs, held, percent) if turn < ROUNDS - 1 else verified_in_blocks(pairs, labels, held, percent))
         if found.isEmpty():
             continue
