@@ -6,8 +6,9 @@ the BITS bits behind the first one, 16 bits in all. (Each register has a hash
 function of its own instead of a share of one function's values, so that short
 documents have no empty registers.) Bands of registers are hashed to buckets;
 two documents of a bucket are candidates if the share of equal registers, less
-what unequal minima give by chance, reaches ESTIMATE; candidates are verified on
-their full shingle sets.
+what unequal minima give by chance, is no lower than what a pair at the threshold
+falls below with a probability of MISS; candidates are verified on their full
+shingle sets.
 
 Only links that matter are looked for: documents with equal sets are one class
 from the start, and a pair within a component that is already connected is never
@@ -20,6 +21,7 @@ blocks of BLOCK classes, too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,8 @@ from . import common as C
 from .components import components, stars
 
 M, ROWS, BITS = 128, 4, 10
-ESTIMATE = 0.7
+#: Probability that a pair at the threshold has too few equal registers to be verified.
+MISS = 1e-6
 BLOCK, ROUNDS = 512, 2
 #: Shingles of a block of sets that are verified against another block's.
 BLOCK_HASHES = 1 << 16
@@ -91,6 +94,18 @@ def bands(sig: np.ndarray) -> np.ndarray:
 CHANCE = 2.0**-BITS / 2
 
 
+def least_equal(percent: int) -> int:
+    """The most registers that a pair whose similarity is percent has equal but for a probability of MISS.
+
+    Each is equal with that similarity's probability at least, so this is a binomial bound."""
+    p, below = percent / 100, 0.0
+    for n in range(M + 1):
+        below += math.comb(M, n) * p**n * (1 - p) ** (M - n)
+        if below > MISS:
+            return n
+    return M
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (128-bit digest of the set), sig (null without shingles)."""
 
@@ -155,7 +170,7 @@ def _pairs(group: np.ndarray, side: np.ndarray, comp: np.ndarray) -> Iterator[tu
             yield left[ok], left[ok] + step
 
 
-def _propose(turn: int):
+def _propose(turn: int, least: int):
     """Candidates between the components of buckets, or of pairs of their blocks; rows come sorted by bucket, i, j.
 
     A pair is a matter of the first bucket that both share. In all turns but the
@@ -174,7 +189,7 @@ def _propose(turn: int):
                 i, j = i[mine], j[mine]
                 same = sig[i] == sig[j]
                 share = (same.mean(1) - CHANCE) / (1 - CHANCE)
-                ok = share >= ESTIMATE
+                ok = same.sum(1) >= least
                 left.append(i[ok])
                 right.append(j[ok])
                 est.append(share[ok])
@@ -219,7 +234,7 @@ def _propose(turn: int):
     return run
 
 
-def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a bucket and may be similar enough; in the last turn, stars of them."""
     held = members.join(labels, "id")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
@@ -231,7 +246,7 @@ def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, turn: int
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     )
     signed = dealt.join(reps, "id").select("bucket", "i", "j", "id", "component", "sig", "side")
-    pairs = signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn), "x long, a long, b long, est double")
+    pairs = signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn, least_equal(percent)), "x long, a long, b long, est double")
     if turn == ROUNDS - 1:
         return pairs.select("a", "b").distinct()
     best = pairs.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p"))
@@ -348,7 +363,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     held = C.cut(sets(texts, k, id_col, text_col).dropDuplicates(["id"]))
     labels, edges = ids.withColumn("component", F.col("id")), None
     for turn in range(ROUNDS):
-        pairs = candidates(members, reps, labels, turn)
+        pairs = candidates(members, reps, labels, turn, percent)
         found = C.cut(verified(pairs, held, percent) if turn < ROUNDS - 1 else verified_in_blocks(pairs, labels, held, percent))
         if found.isEmpty():
             continue

@@ -253,6 +253,19 @@ def test_registers_estimate():
     assert abs(est - 800 / 1200) < 0.15
 
 
+def test_near_with_few_equal_registers(spark):
+    """Pairs over the threshold whose registers happen to agree less are verified all the same."""
+    rows = {}
+    for seed in (443, 469, 1376, 2167, 2981):
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**9)}" for _ in range(300)]
+        rows |= {2 * seed: " ".join(w[:271]), 2 * seed + 1: " ".join(w[29:])}
+    got = {r.doc_id: r.component_id for r in near.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 4).collect()}
+    assert got == {i: c for i, (_, c) in similar(rows, 4).items()} == {i: i - i % 2 for i in rows}
+    loss = sum(math.comb(near.M, n) * 0.8**n * 0.2 ** (near.M - n) for n in range(near.least_equal(80)))
+    assert loss <= near.MISS and near.least_equal(50) < near.least_equal(80)
+
+
 def test_chats(spark, empty):
     rows = [(1, 0, "u", "hi"), (2, 0, "u", "hi"), (2, 1, "a", "yo"), (3, 0, "u", "hi"), (3, 1, "a", "yo"), (4, 0, "u", "bye"), (5, None, None, None), (None, 0, "u", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
