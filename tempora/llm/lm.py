@@ -3,15 +3,15 @@
 A text is its words, each followed by a separator, then one end; words are
 spelled in the bytes that are most frequent in the training words, others by an
 escape. Contexts of up to DEPTH symbols (padded with ends at a text's beginning)
-are counted over all training texts. A context that makes up at least P_MIN of
-all positions is retained if its next-symbol distribution diverges from its
-suffix's by more than the description length of another distribution; so the tree
-has DEPTH / P_MIN contexts at most, whatever the corpus. Distributions are smoothed
-towards the suffix's. The tree is run as an automaton whose states are the
-contexts and their prefixes: the state always holds the longest retained suffix.
-
-Word counts have no such bound. The HEAD most frequent words of ordinary length
-are broadcast; the others are joined by word.
+are counted over all training texts. A context that was seen SUPPORT times at least
+is retained if its next-symbol distribution diverges from its suffix's by more than
+the description length of another distribution; so the tree grows with the corpus.
+Distributions are smoothed towards the suffix's. The tree is kept in tables, one for
+each length. A symbol is scored behind its longest retained suffix.
+
+The scores of the HEAD_CODES most frequent codes (a symbol behind its context) are
+broadcast; those of the others are joined by code. In the same way the HEAD most
+frequent words of ordinary length are broadcast and the others joined by word.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 FOLDS, HELD_OUT = 7, 2
-DEPTH, P_MIN, PRIOR = 5, 4e-6, 8.0
+DEPTH, SUPPORT, PRIOR = 5, 4, 8.0
 HEAD, HEAD_BYTES, FLUSH = 1 << 17, 64, 300_000
+#: Tables of contexts up to the length SHORT are small and met by many codes.
+HEAD_CODES, SHORT = 1 << 19, 2
 #: Symbols: the LETTERS most frequent bytes, then separator, end, escape, and nothing.
 LETTERS, SEP, END, ESC, NONE, BITS = 60, 60, 61, 62, 63, 6
 SIZE, CHUNK = 1 << BITS, 256
@@ -90,6 +93,11 @@ def symbol_map(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def escape(symbols: np.ndarray) -> float:
+    """log10 probability of an escaped byte, given that it is one."""
+    return -math.log10(max(1, int((symbols == ESC).sum())))
+
+
 def stream(off: np.ndarray, data: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts, each behind DEPTH ends; offsets of the texts)."""
     space = C.SPACE[data]
@@ -129,8 +137,8 @@ def codes(syms: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out[inside]
 
 
-def context_counts(texts: DataFrame, symbols: np.ndarray, p_min: float, positions: int) -> DataFrame:
-    """len, context, next, n of all contexts that make up at least p_min of all positions."""
+def code_counts(texts: DataFrame, symbols: np.ndarray) -> DataFrame:
+    """code, n of all codes of the texts."""
     shared = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -155,14 +163,58 @@ def context_counts(texts: DataFrame, symbols: np.ndarray, p_min: float, position
         code, n = merge(parts)
         yield C.batch({"code": code, "n": n.astype(np.int64)})
 
-    deepest = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    levels = [deepest.select(F.lit(k).alias("len"), F.expr(f"(code & {(1 << BITS * (k + 1)) - 1}L) >> {BITS}").alias("context"), F.expr(f"CAST(code & {SIZE - 1} AS INT)").alias("next"), "n") for k in range(DEPTH + 1)]
-    each = levels[0]
-    for x in levels[1:]:
-        each = each.unionByName(x)
-    nexts = each.groupBy("len", "context", "next").agg(F.sum("n").alias("n"))
-    kept = nexts.groupBy("len", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("next", "n")).alias("nexts"))
-    return kept.where(F.col("total") >= max(1.0, p_min * positions)).select("len", "context", "nexts")
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Model:
+    root: list[float]  # probability of each symbol without context
+    levels: list[DataFrame]  # context, total, p (next symbol -> smoothed probability, if seen), retained; for lengths 1 to DEPTH
+
+
+def learn(deepest: DataFrame) -> Model:
+    """The contexts seen SUPPORT times at least, as tables, and which of them are retained; from the result of code_counts()."""
+    codes = [deepest]
+    for k in range(DEPTH - 1, -1, -1):
+        codes.insert(0, C.store(codes[0].groupBy(F.expr(f"code & {(1 << BITS * (k + 1)) - 1}L").alias("code")).agg(F.sum("n").alias("n"))))
+    base = np.ones(NONE)
+    for code, n in codes[0].toLocalIterator():
+        base[code] += n
+    root = (base / base.sum()).tolist()
+    up = deepest.sparkSession.createDataFrame([(0, dict(enumerate(root)))], "suffix long, q map<int,double>")
+    levels = []
+    for k in range(1, DEPTH + 1):
+        seen = codes[k].groupBy(F.expr(f"code >> {BITS}").alias("context")).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct(F.expr(f"CAST(code & {SIZE - 1} AS INT)"), "n"))).alias("c"))
+        both = seen.where(F.col("total") >= SUPPORT).withColumn("suffix", F.expr(f"context & {(1 << BITS * (k - 1)) - 1}L")).join(F.broadcast(up) if k <= SHORT + 1 else up, "suffix")
+        gain = "aggregate(map_entries(c), 0D, (a, e) -> a + e.value * ln(e.value / total / q[e.key]))"
+        level = both.select(
+            "context", "total", F.expr(f"transform_values(c, (x, n) -> (n + {PRIOR}D * q[x]) / (total + {PRIOR}D))").alias("p"),
+            F.expr(f"{gain} > 0.5D * size(c) * ln(total + 1)").alias("diverges"),
+        )
+        levels.append(C.store(level))
+        up = levels[-1].select(F.col("context").alias("suffix"), F.col("p").alias("q"))
+    longer = None
+    for k in range(DEPTH, 0, -1):
+        level = levels[k - 1]
+        if longer is None:
+            level = level.withColumn("retained", F.col("diverges"))
+        else:
+            level = level.join(longer, "context", "left").withColumn("retained", F.col("diverges") | F.col("below").isNotNull())
+        levels[k - 1] = C.store(level.select("context", "total", "p", "retained"))
+        longer = levels[k - 1].where("retained").select(F.expr(f"context & {(1 << BITS * (k - 1)) - 1}L").alias("context")).distinct().withColumn("below", F.lit(True))
+    return Model(root, levels)
+
+
+def code_logp(codes: DataFrame, model: Model) -> DataFrame:
+    """code, logp (log10) of the last symbol of each code behind the longest retained suffix of the others."""
+    root = "array(" + ", ".join(f"{x!r}D" for x in model.root) + ")"
+    out = codes.select("code", F.expr(f"get({root}, CAST(code & {SIZE - 1} AS INT))").alias("q")).withColumn("own", F.col("q"))
+    for k, level in enumerate(model.levels, 1):
+        out = out.withColumn("context", F.expr(f"(code >> {BITS}) & {(1 << BITS * k) - 1}L"))
+        out = out.join(F.broadcast(level) if k <= SHORT else level, "context", "left")
+        q = F.expr(f"IF(total IS NULL, q, coalesce(p[CAST(code & {SIZE - 1} AS INT)], {PRIOR}D / (total + {PRIOR}D) * q))")
+        out = out.select("code", q.alias("q"), "own", "retained").select("code", "q", F.expr("IF(retained, q, own)").alias("own"))
+    return out.select("code", F.log10("own").alias("logp"))
 
 
 @dataclass
@@ -175,7 +227,7 @@ class Tree:
 
 
 def grow(found: pa.Table, symbols: np.ndarray) -> Tree:
-    """The tree from the result of context_counts(), and its automaton."""
+    """The tree of counts in memory, and its automaton: what learn() and code_logp() are held against."""
     found = found.combine_chunks()
     table, counts = np.zeros((found.num_rows, SIZE), np.float32), {}
     if found.num_rows:
@@ -225,7 +277,7 @@ def grow(found: pa.Table, symbols: np.ndarray) -> Tree:
             while (k, c & (1 << BITS * k) - 1) not in number:
                 k -= 1
             delta[i, a] = number[k, c & (1 << BITS * k) - 1]
-    return Tree(order, delta.ravel(), logp.ravel(), len(keep), -math.log10(max(1, int((symbols == ESC).sum()))))
+    return Tree(order, delta.ravel(), logp.ravel(), len(keep), escape(symbols))
 
 
 def score(tree: Tree, symbols: np.ndarray, off: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -256,6 +308,23 @@ def score(tree: Tree, symbols: np.ndarray, off: np.ndarray, data: np.ndarray) ->
     return out + tree.escape * np.bincount(np.searchsorted(off, escaped, "right") - 1, minlength=n)
 
 
+def score_codes(frequent: tuple[np.ndarray, np.ndarray], symbols: np.ndarray, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(log10 probability of the frequent codes of each text of a run and of its escapes, list of its other codes)."""
+    syms, offs = stream(off, data, symbols)
+    n = len(off) - 1
+    doc = np.repeat(np.arange(n), np.diff(offs) - DEPTH)
+    code = codes(syms, offs)
+    known, logp = frequent
+    some, where = np.unique(code, return_inverse=True)
+    at = np.searchsorted(known, some)
+    hit = np.r_[known, -1][at] == some
+    out = np.bincount(doc, np.where(hit, np.r_[logp, 0.0][at], 0.0)[where], minlength=n)
+    far = ~hit[where]
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[far], np.arange(n + 1)), pa.int32()), pa.array(code[far]))
+    escaped = np.flatnonzero(symbols[C.LOWER[data]] == ESC)
+    return out + escape(symbols) * np.bincount(np.searchsorted(off, escaped, "right") - 1, minlength=n), lists
+
+
 def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -271,15 +340,18 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, v_all = words + n_train, distinct + bool(n_train)
     symbols = symbol_map(byte_counts(counts))
-    spelled = counts.agg(F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0))).first()[0] + n_train
-    tree = grow(context_counts(train, symbols, P_MIN, spelled).toArrow(), symbols)
+    deepest = C.store(code_counts(train, symbols))
+    model = learn(deepest)
+    first = code_logp(deepest.orderBy(F.desc("n"), "code").limit(HEAD_CODES), model).toArrow()
+    first = first.take(pc.sort_indices(first, sort_keys=[("code", "ascending")]))
+    frequent = tuple(first.column(n).to_numpy() for n in ("code", "logp"))
     top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD)
     head = {bytes(w): (math.log10(c + 1)) for w, c in zip(*(x.to_pylist() for x in top.toArrow().columns), strict=True)}
-    shared = spark.sparkContext.broadcast((tree, symbols, head))
+    shared = spark.sparkContext.broadcast((frequent, symbols, head))
     listed = len(head) == distinct  # then no other word is known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, symbols, head = shared.value
+        frequent, symbols, head = shared.value
         for b in batches:
             for lo, hi, off, data in C.runs(b.column(2), 2 << 20):
                 part = b.slice(lo, hi - lo)
@@ -295,22 +367,26 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     known.append(len(got))
                     n.append(len(ws) + 1)
                     rest.append(other)
+                total, far = score_codes(frequent, symbols, off, data)
                 yield C.batch({
                     "row": part.column(0), "doc_id": part.column(1), "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()),
-                    "sum": pa.array(sums, pa.float64()), "score": score(tree, symbols, off, data), "rest": pa.array(rest, pa.list_(pa.binary())),
+                    "sum": pa.array(sums, pa.float64()), "score": total, "rest": pa.array(rest, pa.list_(pa.binary())), "far": far,
                 })
 
     rows = C.store(
-        own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sum double, score double, rest array<binary>")
+        own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sum double, score double, rest array<binary>, far array<long>")
     )
     tail = rows.select("row", F.explode("rest").alias("word")).join(counts, "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("plus"))
-    full = rows.drop("rest").join(tail, "row", "left")
+    beyond = rows.select("row", F.explode("far").alias("code"))
+    plus = beyond.join(code_logp(beyond.select("code").distinct(), model), "code").groupBy("row").agg(F.sum("logp").alias("deep"))
+    full = rows.drop("rest", "far").join(tail, "row", "left").join(plus, "row", "left")
     end = math.log10(n_train + 1)
     return full.select(
         "doc_id", (~training("doc_id")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + int(n_train > 0)).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("sum") + F.coalesce("plus", F.lit(0.0)) + end - F.col("n_tokens") * math.log10(n_all + v_all + 1)).alias("base_score"), "score",
+        (F.col("sum") + F.coalesce("plus", F.lit(0.0)) + end - F.col("n_tokens") * math.log10(n_all + v_all + 1)).alias("base_score"),
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 

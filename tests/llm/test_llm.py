@@ -147,6 +147,34 @@ def test_lm_is_a_distribution(texts):
         assert abs(total - lm.score(tree, symbols, np.array([0, len(raw)]), raw)[0]) < 1e-6 + 1e-9 * abs(total)
 
 
+@pytest.mark.parametrize("head", [lm.HEAD_CODES, 50])
+def test_lm_tables_and_support(spark, monkeypatch, head):
+    """Scores are those of the tree in memory, whatever is broadcast; a rare context is retained in a corpus of any size."""
+    import pyarrow as pa
+
+    from tempora.llm import common as C
+
+    monkeypatch.setattr(lm, "HEAD_CODES", head)
+    texts = {i: "the cat sat on a mat " * 3000 for i in range(60)} | {100 + i: "xyzzq" for i in range(9)}
+    sample = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = lambda t: (np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8))
+    symbols = lm.symbol_map(np.bincount(C.LOWER[one("".join(sample))[1]], minlength=256))
+    rows = collections.defaultdict(collections.Counter)
+    for t in sample:
+        for x, m in zip(*map(np.ndarray.tolist, np.unique(lm.codes(*lm.stream(*one(t), symbols)), return_counts=True)), strict=True):
+            for k in range(lm.DEPTH + 1):
+                y = x & (1 << lm.BITS * (k + 1)) - 1
+                rows[k, y >> lm.BITS][y & lm.SIZE - 1] += m
+    rows = {s: r for s, r in rows.items() if sum(r.values()) >= lm.SUPPORT or not s[0]}
+    kind = pa.list_(pa.struct([("next", pa.int32()), ("n", pa.int64())]))
+    tree = lm.grow(pa.table({"len": [k for k, _ in rows], "context": [c for _, c in rows], "nexts": pa.array([[{"next": a, "n": m} for a, m in r.items()] for r in rows.values()], kind)}), symbols)
+    got = {r.doc_id: r.score for r in lm.evaluate(spark.createDataFrame([*texts.items(), (200, "quite other xyz words")], "doc_id long, text string")).collect()}
+    for i, t in [*texts.items(), (200, "quite other xyz words")]:
+        want = lm.score(tree, symbols, *one(t))[0]
+        assert abs(got[i] - want) < 1e-4 + 1e-6 * abs(want)
+    assert got[100] > -7  # symbols behind contexts of nine in four million positions
+
+
 def repeated(all_texts, size=400):
     """n_bytes, n_removed, n_spans, digest of each text by counting every string."""
     c = collections.Counter(t[i : i + size] for t in all_texts for i in range(len(t) - size + 1))
