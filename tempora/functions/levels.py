@@ -7,6 +7,8 @@ partitioning and one order, so that Spark plans one exchange and one sort.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def so_far() -> WindowSpec:
 
 def held(x: Column, default: object) -> Column:
     """The last value that was assigned."""
-    return F.coalesce(F.last(x, ignorenulls=True).over(so_far()), _lit(default))
+    return F.coalesce(F.last(x, ignorenulls=True).over(so_far()), lit(default))
 
 
 def clock(x: Column) -> Column:
@@ -44,7 +46,7 @@ def clock(x: Column) -> Column:
 
 
 def prev(x: Column, default: object) -> Column:
-    return F.lag(x, 1).over(moments()) if default is None else F.coalesce(F.lag(x, 1).over(moments()), _lit(default))
+    return F.lag(x, 1).over(moments()) if default is None else F.coalesce(F.lag(x, 1).over(moments()), lit(default))
 
 
 def changed(x: Column, default: object) -> Column:
@@ -52,26 +54,35 @@ def changed(x: Column, default: object) -> Column:
     return ~x.eqNullSafe(prev(x, default))
 
 
-def elapsed() -> Column:
-    """Nanoseconds since the moment before, 0 at the first."""
-    return F.col(TS) - F.coalesce(F.lag(TS, 1).over(moments()), F.col(TS))
-
-
-def total(x: Column) -> Column:
-    return F.coalesce(F.sum(x).over(so_far()), F.lit(0))
-
-
 def nanos(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) * 1000
 
 
+def parsed(text: str, kind: str, default: object) -> object:
+    """parse() of a plain value."""
+    if kind == "boolean":
+        return {"true": True, "false": False}.get(text, default)
+    real = kind in ("double", "float")
+    if not re.fullmatch(r"[+-]?[0-9.eE+-]+" if real else r"[+-]?[0-9]+", text):
+        return default
+    try:
+        number = float(text) if real else int(text)
+    except ValueError:
+        return default
+    bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}.get(kind)
+    return number if bits is None or -(1 << bits - 1) <= number < 1 << bits - 1 else default
+
+
 def parse(text: Column, kind: str, default: object) -> Column:
     """text as a number or the default; unlike a bare cast it takes no blanks around it."""
     tidy = text.rlike(r"^[+-]?[0-9.eE+-]+$") if kind in ("double", "float") else text.rlike(r"^[+-]?[0-9]+$")
     if kind == "boolean":
         tidy = text.isin("true", "false")
-    return F.coalesce(F.when(tidy, text.try_cast(kind)), _lit(default).cast(kind))
+    return F.coalesce(F.when(tidy, text.try_cast(kind)), lit(default).cast(kind))
 
 
-def _lit(v: object) -> Column:
+def lit(v: object) -> Column:
+    """A literal; a tuple is a struct."""
+    if isinstance(v, tuple):
+        return F.struct(*[lit(x).alias(f"_{i}") for i, x in enumerate(v)])
     return v if isinstance(v, Column) else F.lit(v)

@@ -4,84 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tempora.functions import levels as L
-from tempora.plans.timeline import Signal
+from tempora.operators import processors as P
+from tempora.plans import nodes as N
+from tempora.plans.timeline import Signal, Timeline
 
 
 @dataclass(frozen=True)
 class Measure:
-    line: Any
-    right: Column
-    left: Column
+    right: Signal
+    left: Signal
 
-    def map(self, f: Callable[[Column], Column]) -> Measure:
-        return Measure(self.line, f(self.right), f(self.left))
+    def map(self, f: Callable[[Any], Any], py: Callable[[Any], Any] | None = None) -> Measure:
+        return Measure(self.right.with_(f, default=0, py=py), self.left.with_(f, default=0, py=py))
 
-    def combine(self, f: Callable[[Column, Column], Column], other: Measure) -> Measure:
-        return Measure(self.line, f(self.right, other.right), f(self.left, other.left))
+    def combine(self, f: Callable[[Any, Any], Any], other: Measure, py: Callable[[Any, Any], Any] | None = None) -> Measure:
+        return Measure(self.right.with_(f, other.right, default=0, py=py), self.left.with_(f, other.left, default=0, py=py))
 
     def scoped(self, scope: Signal) -> Measure:
         """Less what it was when scope last changed."""
-        line = self.line
-        right, left = line.add(self.right, 0), line.add(self.left, 0)
-        at = line.add(L.changed(line.own(scope).col, scope.default), False)
-        base = line.add(F.coalesce(F.last(F.when(at.col, left.col), ignorenulls=True).over(L.so_far()), F.lit(0)), 0)
-        return Measure(line, right.col - base.col, left.col - L.prev(base.col, 0))
+        base = P._hold(scope.changes(), self.left, 0)
+        before = Signal(base.line, N.Prev((base.node,), 0), 0)
+        return Measure(self.right - base, self.left - before)
+
+
+def _prev(s: Signal, default: Any) -> Signal:
+    return Signal(s.line, N.Prev((s.node,), default), default)
 
 
 def peek(s: Signal) -> Measure:
-    x = s.line.own(s)
-    return Measure(s.line, x.col, L.prev(x.col, s.default))
+    return Measure(s, _prev(s, s.default))
 
 
-def peek_timestamp(line: Any) -> Measure:
-    return Measure(line, F.col(L.TS), F.col(L.TS))
+def peek_timestamp(line: Timeline) -> Measure:
+    return Measure(line.now(), line.now())
 
 
 def formatted(m: Measure) -> Measure:
     """Nanoseconds as text in UTC, to milliseconds."""
-    return m.map(lambda t: F.concat(F.date_format(F.timestamp_micros(F.floor(t.cast("decimal(20,0)") / 1000).cast("bigint")), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC")))
+
+    def text(t: Column) -> Column:
+        return F.concat(F.date_format(F.timestamp_micros(F.call_function("div", t, F.lit(1000))), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC"))
+
+    def plain(t: int) -> str:
+        s, rest = divmod(t, 10**9)
+        return f"{datetime.fromtimestamp(s, UTC):%Y-%m-%d %H:%M:%S}.{rest // 10**6:03d} UTC"
+
+    return m.map(text, plain)
+
+
+def _elapsed(line: Timeline) -> Signal:
+    """Nanoseconds since the moment before, 0 at the first."""
+    now = line.now()
+    before = Signal(line, N.Prev((now.node,), None), None)
+    return now.with_(lambda t, p: t - F.coalesce(p, t), before, default=0, py=lambda t, p: 0 if p is None else t - p, total=True)
 
 
 def duration_true(s: Signal) -> Measure:
     """Total time that s was true."""
-    b = s.line.own(s)
-    part = s.line.add(F.when(L.prev(b.col, False), L.elapsed()).otherwise(F.lit(0)), 0)
-    out = s.line.add(L.total(part.col), 0)
-    return Measure(s.line, out.col, out.col)
+    part = _prev(s, False).with_(P._when, _elapsed(s.line), py=P._py_when)
+    out = P._filled(P._total(part), 0)
+    return Measure(out, out)
 
 
-def _since(s: Signal, first: bool) -> tuple[Signal, Column]:
-    """(s, time at which its level began); first: the first moment begins one, whatever the default."""
-    line, x = s.line, s.line.own(s)
-    at = L.changed(x.col, s.default)
-    if first:
-        at = at | F.lag(F.lit(1)).over(L.moments()).isNull()
-    at = line.add(at, False)
-    return x, line.add(F.last(F.when(at.col, F.col(L.TS)), ignorenulls=True).over(L.so_far()), None).col
+def _since(s: Signal, first: bool) -> Signal:
+    """The time at which the level of s began; first: the first moment begins one, whatever the default."""
+    at = s.changes()
+    return P._hold(at | Signal(s.line, N.First(), False) if first else at, s.line.now(), None)
 
 
 def duration_since_true(s: Signal) -> Measure:
     """Time since s became true, 0 while it is false."""
-    b, since = _since(s, False)
-    begun, was = s.line.add(L.prev(since, None), None).col, L.prev(b.col, False)
-    zero = F.lit(0).cast("bigint")
-    return Measure(s.line, F.when(b.col, F.col(L.TS) - since).otherwise(zero), F.when(was, F.col(L.TS) - begun).otherwise(zero))
+    since, now = _since(s, False), s.line.now()
+    zero = s.line.now() * 0
+
+    def span(b: Signal, begun: Signal) -> Signal:
+        return b.with_(lambda c, t, x, z: F.when(c, t - x).otherwise(z), now, begun, zero, default=0, py=lambda c, t, x, z: t - x if c else 0)
+
+    return Measure(span(s, since), span(_prev(s, False), _prev(since, None)))
 
 
 def duration_of_current_level(s: Signal) -> Measure:
-    _, since = _since(s, True)
-    return Measure(s.line, F.col(L.TS) - since, F.coalesce(F.col(L.TS) - L.prev(since, None), F.lit(0)))
+    since, now = _since(s, True), s.line.now()
+    left = now.with_(lambda t, x: F.coalesce(t - x, F.lit(0)), _prev(since, None), default=0, py=lambda t, x: 0 if x is None else t - x, total=True)
+    return Measure(now - since, left)
 
 
 def linear_change(rate: Signal) -> Measure:
     """The integral of a rate per second."""
-    r = rate.line.own(rate)
-    part = rate.line.add(L.prev(r.col, 0).cast("double") * L.elapsed(), 0.0)
-    out = rate.line.add(L.total(part.col) / F.lit(1e9), 0.0)
-    return Measure(rate.line, out.col, out.col)
+    part = _prev(rate, 0).with_(lambda r, t: r.cast("double") * t, _elapsed(rate.line), default=0.0, py=lambda r, t: float(r) * t, total=True)
+    out = P._filled(P._total(part), 0.0) / 1e9
+    return Measure(out, out)

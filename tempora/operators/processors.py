@@ -1,186 +1,241 @@
-"""Stateful signal operators as window expressions on a Timeline."""
+"""Stateful signal operators, composed of nodes; see plans/nodes.py."""
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tempora.functions import levels as L
-from tempora.plans.timeline import Signal
+from tempora.plans import nodes as N
+from tempora.plans.timeline import Signal, Timeline, _if, _tuple
 
 
-def _changes(s: Signal) -> Column:
-    """A column that tells where s changes."""
-    line = s.line
-    return line.add(L.changed(line.own(s).col, s.default), False).col
+def _when(at: Column, x: Column) -> Column:
+    return F.when(at, x)
 
 
-def _hold(line: Any, when: Column, value: Column, default: Any) -> Signal:
-    """value as it was where when last held. Values are wrapped, so null is one too."""
-    last = F.last(F.when(when, F.struct(value.alias("v"))), ignorenulls=True).over(L.so_far())
-    return line.add(F.when(last.isNull(), F.lit(default)).otherwise(last["v"]), default)
+def _py_when(at: bool, x: Any) -> Any:
+    return x if at else None
 
 
-def accumulate(control: Signal, data: Signal, init: Any = 0, only: Callable[[Column], Column] | None = None) -> Signal:
+def _or_else(x: Column, default: Column) -> Column:
+    return F.coalesce(x, default)
+
+
+def _py_or_else(x: Any, default: Any) -> Any:
+    return default if x is None else x
+
+
+def _choose(c: bool, a: Any, b: Any) -> Any:
+    return a if c else b
+
+
+def _hold(at: Signal, x: Signal, default: Any, *run: Signal) -> Signal:
+    return Signal(at.line, N.Hold((at.node, x.node, *(r.node for r in run)), default), default)
+
+
+def _total(x: Signal, how: str = "sum", *run: Signal) -> Signal:
+    return Signal(x.line, N.Total((x.node, *(r.node for r in run)), how=how), None)
+
+
+def _filled(x: Signal, default: Any) -> Signal:
+    return x.with_(_or_else, default, default=default, py=_py_or_else, total=True) if default is not None else x
+
+
+def _as(s: Signal, default: Any) -> Signal:
+    """s, whose type has another default."""
+    return Signal(s.line, s.node, default)
+
+
+def timed(s: Signal, *timers: N.Timer) -> Signal:
+    """s, with moments of its own."""
+    return Signal(s.line, replace(s.node, timers=(*s.node.timers, *timers)), s.default)
+
+
+def accumulate(control: Signal, data: Signal, init: Any = 0, only: Callable[[Any], Any] | None = None) -> Signal:
     """init plus data at each change of control to a value that passes only."""
-    at = _changes(control)
+    at = control.changes()
     if only is not None:
-        at = at & only(control.line.own(control).col)
-    return control.line.add(F.lit(init) + L.total(F.when(at, data.line.own(data).col)), init)
+        at = at & control.map(only, False)
+    return _as(_filled(_total(at.with_(_when, data, py=_py_when)), 0) + init, init)
 
 
 def edge_latch(control: Signal, data: Signal, forget: int | str = -1) -> Signal:
     """data where control last changed; with a duration, back to the default when it has passed."""
-    line, ttl = control.line, L.duration(forget)
-    at = _changes(control)
-    value = line.own(data)
+    ttl, at = L.duration(forget), control.changes()
+    held = _hold(at, data, data.default)
     if ttl < 0:
-        return _hold(line, at, value.col, data.default)
-    line.insert(F.when(at, F.array(F.col(L.TS) + ttl)))
-    at = line.add(L.changed(line.own(control).col, control.default), False).col
-    since = line.add(F.last(F.when(at, F.col(L.TS)), ignorenulls=True).over(L.so_far()), None).col
-    kept = _hold(line, at, value.col, data.default)
-    return line.add(F.when(since.isNotNull() & (F.col(L.TS) < since + ttl), kept.col).otherwise(F.lit(data.default)), data.default)
+        return held
+    since = _hold(at, control.line.now(), -(1 << 62))
+    kept = control.line.now() < since + ttl
+    return timed(if_(kept, held, Signal(control.line, N.Const(value=data.default), data.default)), N.Timer(at.node, ttl))
 
 
-def level_latch(control: Signal, data: Signal) -> Signal:
-    """data while control is true, then held."""
-    line = control.line
-    return _hold(line, line.own(control).col, line.own(data).col, data.default)
+def level_latch(control: Signal, data: Signal, forget: int | str = -1, kind: str = "int") -> Signal:
+    """data while control is true, then held; with a duration, until it has passed since the last moment, of any
+    operator, at which control was true. That depends on all moments, so it runs as a fold; kind is its type."""
+    ttl = L.duration(forget)
+    if ttl < 0:
+        return _hold(control, data, data.default)
+    return Signal(control.line, N.LevelLatch((control.node, data.node), data.default, ttl=ttl, kind=kind), data.default)
 
 
 def been_true(control: Signal, within: int | str = -1) -> Signal:
-    """Whether control is true, or was: ever, or until less than the duration ago.
-
-    fold.level_latch_ttl has the variant whose timer is armed at moments only."""
-    line, ttl = control.line, L.duration(within)
-    c = line.own(control)
+    """Whether control is true, or was: ever, or until less than the duration ago."""
+    ttl = L.duration(within)
     if ttl < 0:
-        return line.add(F.coalesce(F.max(c.col).over(L.so_far()), F.lit(False)), False)
-    ended = line.add(~c.col & L.prev(c.col, False), False).col
-    line.insert(F.when(ended, F.array(F.col(L.TS) + ttl)))
-    c = line.signal(c.name)
-    ended = line.add(~c.col & L.prev(c.col, False), False).col
-    since = line.add(F.last(F.when(ended, F.col(L.TS)), ignorenulls=True).over(L.so_far()), None).col
-    return line.add(c.col | F.coalesce(F.col(L.TS) < since + ttl, F.lit(False)), False)
+        return _as(_filled(_total(control, "max"), False), False)
+    ended = ~control & Signal(control.line, N.Prev((control.node,), False), False)
+    since = _hold(ended, control.line.now(), -(1 << 62))
+    return timed(control | (control.line.now() < since + ttl), N.Timer(ended.node, ttl))
 
 
 def duration_of_previous_level(s: Signal) -> Signal:
     """The length of the level that ended last; the first is counted from time 0."""
-    line = s.line
-    at = _changes(s)
-    started = line.add(F.last(F.when(at, F.col(L.TS)), ignorenulls=True).over(L.so_far()), None).col
-    before = line.add(F.coalesce(F.lag(started).over(L.moments()), F.lit(0)), 0).col
-    return _hold(line, at, F.col(L.TS) - before, 0)
+    at, now = s.changes(), s.line.now()
+    started = _hold(at, now, 0)
+    before = Signal(s.line, N.Prev((started.node,), 0), 0)
+    return _hold(at, now - before, 0)
+
+
+def scope_run(scope: Signal) -> Signal:
+    """A number that grows with each change of scope."""
+    return _total(scope.changes().cast("int"))
 
 
 def state_fold(name: str, data: Signal, clock: Signal, scope: Signal | None = None, init: Any = None) -> Signal:
     """SUM, MIN, MAX, AND or OR of data at the ticks of clock, begun anew in each scope."""
-    line = data.line
-    x, at = line.own(data).col, _changes(clock)
     base = {"SUM": 0, "AND": True, "OR": False}.get(name) if init is None else init
-    parts = [L.KEY]
-    if scope is not None:
-        line.add(line.scope_run(scope), 0, run := f"_run{len(line.defaults)}")
-        parts.append(run)
-    w = Window.partitionBy(*parts).orderBy(L.TS, L.SEQ).rowsBetween(Window.unboundedPreceding, 0)
-    agg = {"SUM": F.sum, "MIN": F.min, "MAX": F.max, "AND": F.min, "OR": F.max}[name](F.when(at, x)).over(w)
-    join = {"SUM": lambda a: a + F.lit(base), "MIN": lambda a: F.least(a, F.lit(base)), "MAX": lambda a: F.greatest(a, F.lit(base)), "AND": lambda a: a & F.lit(base), "OR": lambda a: a | F.lit(base)}[name]
-    empty = F.lit(data.default if base is None else base)
-    return line.add(F.coalesce(agg if base is None else join(agg), empty), data.default)
+    how = {"SUM": "sum", "MIN": "min", "MAX": "max", "AND": "min", "OR": "max"}[name]
+    total = _total(clock.changes().with_(_when, data, py=_py_when), how, *([scope_run(scope)] if scope is not None else []))
+    if base is None:
+        return _as(_filled(total, data.default), data.default)
+    join, py = {"SUM": (operator.add, None), "MIN": (_least, min), "MAX": (_greatest, max), "AND": (operator.and_, None), "OR": (operator.or_, None)}[name]
+    return _filled(total, 0 if name == "SUM" else base).with_(join, base, default=data.default, py=py, total=True)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _greatest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+class StateMachineBuilder:
+    """A state that f(state, data) replaces at each tick of clock; with a scope, begun anew at each of its changes.
+
+    build() takes any f and runs as a fold. saturating() and time_domain folds are machines that windows can tell."""
+
+    def __init__(self, clock: Signal, data: Signal) -> None:
+        self.clock, self.data = clock, data
+        self.init: Any = 0
+        self.f: Callable[[Any, Any], Any] | None = None
+        self.scope: Signal | None = None
+
+    def init_state(self, init: Any) -> StateMachineBuilder:
+        self.init = init
+        return self
+
+    def transition_fn(self, f: Callable[[Any, Any], Any]) -> StateMachineBuilder:
+        self.f = f
+        return self
+
+    def scoped(self, scope: Signal) -> StateMachineBuilder:
+        self.scope = scope
+        return self
+
+    def build(self, kind: str = "int", default: Any = None) -> Signal:
+        if self.f is None:
+            raise ValueError("no transition function")
+        inputs = [self.clock.changes().node, self.data.node] + ([self.scope.changes().node] if self.scope is not None else [])
+        default = {"string": "", "boolean": False, "double": 0.0}.get(kind, 0) if default is None else default
+        return Signal(self.clock.line, N.StateMachine(tuple(inputs), default, f=self.f, init=self.init, kind=kind), default)
+
+    def saturating(self, limit: int) -> Signal:
+        """The machine that counts ticks from init up to limit."""
+        ticks = _total(self.clock.changes().with_(_when, 1, py=_py_when), "count", *([scope_run(self.scope)] if self.scope is not None else []))
+        return (ticks + self.init).with_(_least, limit, default=0, py=min, total=True)
 
 
 def prior_value(s: Signal, clock: Signal, scope: Signal | None = None) -> Signal:
     """The value at the tick of clock before the last one, within a scope."""
-    line = s.line
-    x, at = line.own(s).col, _changes(clock)
-    parts = [L.KEY]
-    if scope is not None:
-        line.add(line.scope_run(scope), 0, run := f"_run{len(line.defaults)}")
-        parts.append(run)
-    w = Window.partitionBy(*parts).orderBy(L.TS, L.SEQ)
-    ticked = line.add(F.last(F.when(at, x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), None).col
-    upto = F.last(F.when(at, F.struct(F.coalesce(ticked, F.lit(s.default)).alias("v"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return line.add(F.coalesce(upto["v"], F.lit(s.default)), s.default)
-
-
-def _queue(trigger: Signal, data: Signal) -> tuple[Any, Column, Column, str]:
-    """Windows over the moments of the trigger alone: they are numbered, others carry null."""
-    line = data.line
-    x, at = line.own(data).col, _changes(trigger)
-    line.add(F.when(at, F.lit(1)).otherwise(F.lit(0)), 0, name := f"_t{len(line.defaults)}")
-    return line, x, at, name
-
-
-def sliding_window(trigger: Signal, data: Signal, n: int, emit: Callable[[Column, Column], Column], init: Any, default: Any) -> Signal:
+    at, run = clock.changes(), [scope_run(scope)] if scope is not None else []
+    ticked = Signal(s.line, N.Before((at.node, s.node, *(r.node for r in run))), None)
+    return _hold(at, _filled(ticked, s.default), s.default, *run)
+
+
+def sliding_window(trigger: Signal, data: Signal, n: int, emit: Callable[[Any, Any], Any], init: Any, default: Any, py: Callable[[list, Any], Any] | None = None) -> Signal:
     """emit(last n triggered inputs, the one evicted last or init) at each trigger, held between."""
-    line, x, at, name = _queue(trigger, data)
-    w = Window.partitionBy(L.KEY, name).orderBy(L.TS, L.SEQ)
-    queue = line.add(F.when(at, F.collect_list(x).over(w.rowsBetween(-(n - 1), 0))), None).col
-    gone = line.add(F.when(at, F.coalesce(F.lag(x, n).over(w), F.lit(init))), None).col
-    return _hold(line, at, emit(queue, gone), default)
+    at = trigger.changes()
+    queue = Signal(data.line, N.Recent((at.node, data.node), n=n), None)
+    gone = Signal(data.line, N.Evicted((at.node, data.node), n=n, init=init), None)
+    return _hold(at, queue.with_(emit, gone, py=py and _guarded(py)), default)
+
+
+def _guarded(f: Callable[..., Any]) -> Callable[..., Any]:
+    return lambda queue, gone: None if queue is None else f(queue, gone)
 
 
 def moving_average(s: Signal, n: int) -> Signal:
     """The mean of the last n levels; NaN before the first change."""
-    line, x, at, name = _queue(s, s)
-    w = Window.partitionBy(L.KEY, name).orderBy(L.TS, L.SEQ).rowsBetween(-(n - 1), 0)
-    mean = line.add(F.when(at, F.avg(x.cast("double")).over(w)), None).col
-    return _hold(line, at, mean, float("nan"))
-
-
-def sliding_time_window(trigger: Signal, data: Signal, span: int | str, emit: Callable[[Column, Column], Column], init: Any, default: Any) -> Signal:
-    """emit(inputs triggered less than span ago, the one evicted last or init), also at the moments when one goes."""
-    line, size = data.line, L.duration(span)
-    at, value = _changes(trigger), line.own(data)
-    line.insert(F.when(at, F.array(F.col(L.TS) + size)))
-    at = line.add(L.changed(line.own(trigger).col, trigger.default), False).col
-    x = line.signal(value.name).col
-    w = Window.partitionBy(L.KEY).orderBy(L.TS)
-    queue = line.add(F.collect_list(F.when(at, x)).over(w.rangeBetween(-(size - 1), 0)), None).col
-    gone = line.add(F.coalesce(F.last(F.when(at, x), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -size)), F.lit(init)), None).col
-    return line.add(emit(queue, gone), default)
-
-
-def liveness(clock: Signal, is_live: Column, timeout: int | str = "90s") -> Signal:
-    """Whether a later event that is live comes before timeout has passed since the last tick of clock."""
-    line, limit = clock.line, L.duration(timeout)
-    at = _changes(clock)
-    ticked = line.add(F.last(F.when(at, F.col(L.TS)), ignorenulls=True).over(L.so_far()), None).col
-    ahead = line.add(F.min(F.when(is_live & F.col(L.EXT), F.col(L.TS))).over(L.moments().rowsBetween(1, Window.unboundedFollowing)), None).col
-    return line.add(F.coalesce(ahead < F.coalesce(ticked, F.lit(0)) + limit, F.lit(False)), False)
-
-
-def _boundaries(line: Any, period: int, phase: int) -> None:
-    """Moments at each multiple of the period, between an entity's first and last event."""
-    last = F.max(L.TS).over(Window.partitionBy(L.KEY).orderBy(L.TS, L.SEQ).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    line.frame = line.frame.withColumn("_end", last).withColumn("_begin", F.row_number().over(L.moments()) == 1)
-    first = (F.floor((F.col(L.TS) - phase) / F.lit(period)) + 1) * period + phase
-    times = F.when(F.col("_begin") & (first <= F.col("_end")), F.sequence(first.cast("bigint"), F.col("_end"), F.lit(period)))
-    line.defaults |= {"_end": None, "_begin": False}
-    line.insert(times)
-    line.frame = line.frame.drop("_end", "_begin")
-
-
-def square_wave(line: Any, period: int | str, phase: int | str = 0) -> Signal:
+    at = s.changes()
+    return _hold(at, Signal(s.line, N.Recent((at.node, s.node), n=n, mean=True), None), float("nan"))
+
+
+def sliding_time_window(trigger: Signal, data: Signal, span: int | str, emit: Callable[[Any, Any], Any] | str, init: Any, default: Any, py: Callable[[list, Any], Any] | None = None) -> Signal:
+    """emit(inputs triggered less than span ago, the one evicted last or init), also at the moments when one goes.
+
+    emit may name a summary of the inputs (count, sum, min, max, mean), which needs no list of them."""
+    size, at = L.duration(span), trigger.changes()
+    inputs, timer = (at.node, data.node), N.Timer(at.node, size)
+    if isinstance(emit, str):
+        return timed(_as(_filled(Signal(data.line, N.Within(inputs, span=size, how=emit), None), default), default), timer)
+    queue = Signal(data.line, N.Within(inputs, span=size), None)
+    gone = Signal(data.line, N.Expired(inputs, span=size, init=init), None)
+    return timed(queue.with_(emit, gone, default=default, py=py), timer)
+
+
+def liveness(clock: Signal, is_live: Column, timeout: int | str = "90s", py: Callable[[dict], bool] | None = None) -> Signal:
+    """Whether a later event that is live, told by its own fields, comes before timeout has passed since the last tick of clock."""
+    limit, line = L.duration(timeout), clock.line
+    ticked = _hold(clock.changes(), line.now(), 0)
+    return line.next_event(is_live, py, limit) < ticked + limit
+
+
+def generator(line: Timeline, f: Callable[[Any, int], tuple[Any, Any, int]], init: Any, kind: str, default: Any = 0) -> Signal:
+    """A source driven by time alone: f(state, ts) -> (state, value, duration until it is asked again)."""
+    return Signal(line, N.Generator((), default, f=f, init=init, kind=kind), default)
+
+
+def square_wave(line: Timeline, period: int | str, phase: int | str = 0) -> Signal:
     """True in every second period."""
     p, q = L.duration(period), L.duration(phase)
-    _boundaries(line, p, q)
-    return line.add(F.pmod(F.expr(f"({L.TS} - {q}L) div {p}L"), F.lit(2)) == 1, False)
+    wave = line.now().with_(lambda t: F.pmod(_div(t - q, p), F.lit(2)) == 1, default=False, py=lambda t: (t - q) // p % 2 == 1, total=True)
+    return timed(wave, N.Timer(period=p, phase=q % p))
 
 
-def monotonic_steps(line: Any, start: int, step: int, period: int | str, phase: int | str = 0) -> Signal:
-    """start, and step more in each period since time 0."""
+def monotonic_steps(line: Timeline, start: int, step: int, period: int | str, phase: int | str = 0) -> Signal:
+    """start, and step more for each boundary passed since the entity's first moment."""
     p, q = L.duration(period), L.duration(phase)
-    _boundaries(line, p, q)
-    return line.add(F.lit(start) + F.lit(step) * F.expr(f"({L.TS} - {q}L) div {p}L"), start)
+    first = _hold(Signal(line, N.First(), False), line.now(), 0)
+    # the first boundary that counts is the one that follows the first moment's own multiple of the period
+    passed = line.now().with_(lambda t, f: F.greatest(F.lit(0), _div(t - q, p) - _div(f, p)), first, default=0, py=lambda t, f: max(0, (t - q) // p - f // p), total=True)
+    return timed(_as(passed * step + start, 0), N.Timer(period=p, phase=q % p))
+
+
+def _div(x: Column, p: int) -> Column:
+    """Floored division of whole numbers, without doubles."""
+    return F.call_function("div", x - F.pmod(x, F.lit(p)), F.lit(p))
 
 
 def if_(c: Signal, a: Signal, b: Signal) -> Signal:
-    return Signal(c.line, F.when(c.col, a.col).otherwise(b.col), a.default)
+    return c.with_(_if, a, b, default=a.default, py=_choose, total=True)
 
 
 def cond(first: tuple[Signal, Signal], middle: Sequence[tuple[Signal, Signal]], fallback: Signal) -> Signal:
@@ -192,7 +247,7 @@ def cond(first: tuple[Signal, Signal], middle: Sequence[tuple[Signal, Signal]],
 
 
 def make_tuple(*s: Signal) -> Signal:
-    return Signal(s[0].line, F.struct(*[x.col.alias(f"_{i}") for i, x in enumerate(s)]), F.struct(*[F.lit(x.default).alias(f"_{i}") for i, x in enumerate(s)]))
+    return s[0].with_(_tuple, *s[1:], default=tuple(x.default for x in s), py=lambda *v: v, total=True)
 
 
 class FilterBuilder:
@@ -201,17 +256,19 @@ class FilterBuilder:
     def __init__(self, signal: Signal, clock: Signal | None = None) -> None:
         self.signal = signal
         self.clock = clock if clock is not None else signal.clock()
-        self.tests: list[Column] = []
+        self.tests: list[Signal] = []
 
-    def filter_fn(self, f: Callable[[Column], Column]) -> FilterBuilder:
-        self.tests.append(f(self.signal.col))
+    def filter_fn(self, f: Callable[[Any], Any], py: Callable[[Any], bool] | None = None) -> FilterBuilder:
+        self.tests.append(self.signal.map(f, False, py))
         return self
 
     def filter_values(self, *values: Any) -> FilterBuilder:
-        return self.filter_fn(lambda c: c.isin(*values))
+        self.tests.append(self.signal.with_(lambda c: c.isin(*values), default=False, py=lambda v: v in values, total=True))
+        return self
 
     def filter_true(self) -> FilterBuilder:
-        return self.filter_fn(lambda c: c)
+        self.tests.append(self.signal)
+        return self
 
     def then_filter(self, signal: Signal) -> FilterBuilder:
         """Filter another signal on the ticks that this one lets through; a boolean one for true."""
@@ -224,7 +281,7 @@ class FilterBuilder:
         out = self.tests[0]
         for t in self.tests[1:]:
             out = out & t
-        return Signal(self.signal.line, out, False)
+        return out
 
     def build_clock_filter(self) -> Signal:
         return level_latch(self._control(), self.clock)
@@ -239,10 +296,13 @@ def session_ids(clock: Signal, gap: int | str) -> tuple[Signal, Signal]:
     return alive, alive.count_changes()
 
 
-def sessionized(line: Any, field: str, session: Signal, default: Any = None) -> Signal:
+def sessionized(line: Timeline, field: str, session: Signal, default: Any = None) -> Signal:
     """A field's level if it was assigned in this session, else its default."""
-    now = Signal(line, F.col(L.TS), 0)
-    began = edge_latch(session, now)
-    assigned = edge_latch(line.signal(f"{field}__clock"), now)
-    level = line.signal(field)
-    return Signal(line, F.when(began.col <= assigned.col, level.col).otherwise(F.lit(level.default if default is None else default)), level.default)
+    level, clock = line.signal(field), line.signal(f"{field}__clock")
+    return sessionized_by(level, session, edge_latch(session, line.now()), edge_latch(clock, line.now()), default)
+
+
+def sessionized_by(level: Signal, session: Signal, began: Signal, assigned: Signal, default: Any = None) -> Signal:
+    """level where it was assigned, by a clock of one's own, since the session began."""
+    default = level.default if default is None else default
+    return if_(began <= assigned, level, Signal(level.line, N.Const(value=default), level.default))

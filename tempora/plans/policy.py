@@ -6,12 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tempora.functions import levels as L
+from tempora.operators import fold
 from tempora.operators.measurements import Measure, peek
-from tempora.plans.timeline import Signal, Timeline
+from tempora.operators.processors import if_
+from tempora.plans import nodes as N
+from tempora.plans.timeline import MEASURE, Signal, Timeline
 
 
 @dataclass
@@ -20,12 +24,13 @@ class Query:
 
     line: Timeline
     at_events: bool = True
-    event_filter: Column | None = None
+    event_filter: Signal | None = None
     trigger: Signal | None = None
     left_side: Signal | None = None
     gate: Sequence[Measure | Signal] = ()
     reset: Measure | Signal | None = None
     metrics: dict[str, tuple[Measure, str | None, str | None]] = field(default_factory=dict)
+    periods: list[int] = field(default_factory=list)
 
     def metric(self, name: str, m: Measure | Signal, kind: str | None = None, interval: str | bool | None = None) -> Query:
         """interval: the name of a further metric, the difference from the row let out before; True derives the name."""
@@ -35,52 +40,72 @@ class Query:
             interval = name.replace("life_navigation", "interval").replace("life_session", "interval")
             if interval == name:
                 raise ValueError(f"no interval name follows from {name!r}")
+        for n in (name, interval):
+            if n and n in self.names():
+                raise ValueError(f"two metrics of the name {n!r}")
         self.metrics[name] = (peek(m) if isinstance(m, Signal) else m, kind, interval or None)
         return self
 
+    def names(self) -> list[str]:
+        return [n for name, (_, _, interval) in self.metrics.items() for n in (name, interval) if n]
+
     def every(self, period: int | str) -> Query:
         """Measure also at each multiple of the period since an entity's first event."""
-        from pyspark.sql import Window
-
-        step = L.duration(period)
-        whole = Window.partitionBy(L.KEY).orderBy(L.TS, L.SEQ).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        self.line.frame = self.line.frame.withColumn("_end", F.max(L.TS).over(whole)).withColumn("_begin", F.row_number().over(L.moments()) == 1)
-        self.line.defaults |= {"_end": None, "_begin": False}
-        self.line.insert(F.when(F.col("_begin") & (F.col(L.TS) + step <= F.col("_end")), F.sequence(F.col(L.TS) + step, F.col("_end"), F.lit(step))), measure=True)
-        self.line.frame = self.line.frame.drop("_end", "_begin")
+        self.periods.append(L.duration(period))
         return self
 
-    def run(self, key: str, ts: str | None = None, carried: dict[str, str] | None = None) -> DataFrame:
-        """key, ts (ns), carried columns, metrics: a row for each measurement that is let out."""
-        line = self.line
-        when = F.col(L.EXT) & (self.event_filter if self.event_filter is not None else F.lit(True)) if self.at_events else F.lit(False)
-        if "_measure" in line.frame.columns:
-            when = when | F.col("_measure")
-        if self.trigger is not None:
-            when = when | line.add(L.changed(line.own(self.trigger).col, self.trigger.default), False).col
+    def roots(self) -> dict[str, N.Node]:
+        """The nodes that the policy and the metrics read, by what for."""
 
-        def value(m: Measure | Signal) -> Column:
+        def value(m: Measure | Signal) -> N.Node:
             m = peek(m) if isinstance(m, Signal) else m
-            return m.right if self.left_side is None else F.when(self.left_side.col, m.left).otherwise(m.right)
-
-        out: dict[str, Column] = {}
-        for n, (m, kind, _) in self.metrics.items():
-            out[n] = value(m).cast(kind) if kind else value(m)
-        extra: dict[str, Column] = {"_when": when}
-        for i, g in enumerate(self.gate):
-            extra[f"_g{i}"] = value(g)
+            return (m.right if self.left_side is None else if_(self.left_side, m.left, m.right)).node
+
+        out: dict[str, N.Node] = {}
+        if self.event_filter is not None:
+            out["filter"] = self.event_filter.node
+        if self.trigger is not None:
+            out["trigger"] = self.trigger.changes().node
+        out |= {f"gate{i}": value(g) for i, g in enumerate(self.gate)}
         if self.reset is not None:
-            extra["_reset"] = value(self.reset)
-        extra |= {f"_m_{n}": c for n, c in out.items()}
-        df = line.frame.withColumns(extra)
-        cond = F.col("_when")
+            out["reset"] = value(self.reset)
+        return out | {f"m_{n}": value(m) for n, (m, _, _) in self.metrics.items()}
+
+    @property
+    def folded(self) -> bool:
+        """Whether a node has no window form."""
+        return any(n.folded for n in N.ordered(list(self.roots().values())))
+
+    def run(self, key: str, ts: str | None = None, carried: dict[str, str] | None = None, how: str = "auto") -> DataFrame:
+        """key, ts (ns), carried columns, metrics: a row for each measurement that is let out.
+
+        how: windows, fold, or auto: windows wherever every node has that form."""
+        if how == "fold" or (how == "auto" and self.folded):
+            return fold.run(self, key, ts, carried or {})
+        return self._windows(key, ts, carried or {})
+
+    def schema(self, key: str, ts: str | None, carried: dict[str, str]) -> StructType:
+        return self._windows(key, ts, carried).schema
+
+    def _windows(self, key: str, ts: str | None, carried: dict[str, str]) -> DataFrame:
+        line, roots = self.line, self.roots()
+        df, cols = line.lower(list(roots.values()), [N.Timer(period=p, measure=True) for p in self.periods])
+        got = dict(zip(roots, cols, strict=True))
+        when = F.col(L.EXT) & got.get("filter", F.lit(True)) if self.at_events else F.lit(False)
+        if MEASURE in df.columns:
+            when = when | F.col(MEASURE)
+        if self.trigger is not None:
+            when = when | got["trigger"]
         for i in range(len(self.gate)):
-            cond = cond & F.col(f"_g{i}")
-        df = df.where(cond)
+            when = when & got[f"gate{i}"]
+        values: dict[str, Column] = {f"_m_{n}": got[f"m_{n}"].cast(kind) if kind else got[f"m_{n}"] for n, (_, kind, _) in self.metrics.items()}
+        if self.reset is not None:
+            values["_reset"] = got["reset"]
+        df = df.where(when).select(L.KEY, L.TS, L.SEQ, *line.carried, *[c.alias(n) for n, c in values.items()])
         names: list[Column] = [F.col(L.KEY).alias(key)]
         if ts:
             names.append(F.col(L.TS).alias(ts))
-        names += [F.col(f"_c_{c}").alias(a) for c, a in (carried or {}).items()]
+        names += [F.col(f"_c_{c}").alias(a) for c, a in carried.items()]
         for n, (_, _, interval) in self.metrics.items():
             x = F.col(f"_m_{n}")
             names.append(x.alias(n))
@@ -96,3 +121,9 @@ def summary(df: DataFrame, key: str, order: Sequence[str], names: Sequence[str])
     """The last row of each entity, without a window: the greatest by order."""
     best: Any = F.max_by(F.struct(*names), F.struct(*order))
     return df.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
+
+
+def observed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Observation]:
+    """df, and what is observed while it is computed: rows, and how many entities about."""
+    told = Observation(name)
+    return df.observe(told, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key).alias("entities")), told

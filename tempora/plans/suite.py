@@ -6,15 +6,14 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions import levels as L
-from tempora.operators import fold as fold_ops
 from tempora.operators import measurements as M
 from tempora.operators import processors as P
 from tempora.plans.policy import Query
-from tempora.plans.timeline import Field, Signal, Timeline
+from tempora.plans.timeline import Field, Timeline
 
 HOUR = 3600 * 10**9
 TYPES = ("view", "click", "error", "purchase", "signup")
@@ -95,7 +94,7 @@ query("parse_default", chain("coalesce(last_value(digits IGNORE NULLS) {upto}, '
 )
 query("starts_with", chain("starts_with(k, 'p') AS m"), "k")(lambda t: {"m": t["k"].starts_with("p")})
 query("enum_rank", chain("CAST(list_position(['view','click','error','purchase','signup'], k) - 1 AS INT) AS m"), "kind")(lambda t: {"m": t["kind"].rank()})
-query("epoch_seconds", chain("t // 1000000000 AS m"), "k")(lambda t: {"m": M.peek_timestamp(t).map(lambda c: F.unix_seconds(F.timestamp_micros(F.floor(c.cast('decimal(20,0)') / 1000).cast('bigint'))))})
+query("epoch_seconds", chain("t // 1000000000 AS m"), "k")(lambda t: {"m": t.now().map(lambda c: F.timestamp_micros(F.call_function("div", c, F.lit(1000))), 0).timestamp()})
 query("peek_timestamp_fmt", chain("strftime(make_timestamp(t // 1000), '%Y-%m-%d %H:%M:%S.%g') || ' UTC' AS m, t AS n"), "k")(lambda t: {"m": M.formatted(M.peek_timestamp(t)), "n": M.peek_timestamp(t)})
 query("count_changes", chain(_CHG, "CAST(sum(chg::INT) {upto} AS BIGINT) AS m"), "k")(lambda t: {"m": t["k"].count_changes()})
 query("accumulate", chain(_CHG, "round(coalesce(sum(CASE WHEN chg THEN v END) {upto}, 0), 4) AS m"), "k", "v")(lambda t: {"m": P.accumulate(t["k"], t["v"]).map(lambda c: F.round(c, 4), 0.0)})
@@ -170,7 +169,7 @@ query(
     "sliding_time_window",
     chain(_CHG, f"count(CASE WHEN chg THEN 1 END) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {12 * HOUR - 1} PRECEDING AND CURRENT ROW) AS m"),
     "k", "v",
-)(lambda t: {"m": (P.sliding_time_window(t["k"], t["v"], "12h", lambda q, g: F.size(q), 0.0, 0), "bigint")})
+)(lambda t: {"m": (P.sliding_time_window(t["k"], t["v"], "12h", "count", 0.0, 0), "bigint")})
 query(
     "duration_prev_level",
     chain(_CHG, "last_value(CASE WHEN chg THEN t END IGNORE NULLS) {upto} AS st", "CASE WHEN chg THEN t - coalesce(lag(st) {w}, 0) END AS d", "last_value(d IGNORE NULLS) {upto} AS m"),
@@ -180,9 +179,9 @@ query(
     "liveness_lookahead",
     chain(f"coalesce(min(CASE WHEN k = 'view' THEN t END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < t + {6 * HOUR}, false) AS m"),
     "k",
-)(lambda t: {"m": P.liveness(t["k"].clock(), t["k"].col == "view", "6h")})
+)(lambda t: {"m": P.liveness(t["k"].clock(), F.col("k") == "view", "6h", lambda e: e["k"] == "view")})
 query("square_wave", chain(f"(t // {5 * HOUR}) % 2 = 1 AS m"), "k")(lambda t: {"m": P.square_wave(t, "5h")})
-query("monotonic_steps", chain(f"7 + 2 * (t // {5 * HOUR}) AS m"), "k")(lambda t: {"m": P.monotonic_steps(t, 7, 2, "5h")})
+query("monotonic_steps", chain(f"7 + 2 * (t // {5 * HOUR} - min(t) OVER (PARTITION BY user_id) // {5 * HOUR}) AS m"), "k")(lambda t: {"m": P.monotonic_steps(t, 7, 2, "5h")})
 query("square_wave_edges", chain(f"CAST((t // {50 * HOUR}) - (min(t) OVER (PARTITION BY user_id) // {50 * HOUR}) + (min(t) OVER (PARTITION BY user_id) // {50 * HOUR}) % 2 AS BIGINT) AS m"), "k")(
     lambda t: {"m": P.square_wave(t, "50h").count_changes()}
 )
@@ -221,7 +220,7 @@ def policy(name: str, oracle: str | None, *fields: str, ts: str | None = None, e
 
 @policy("event_filter", chain(_AMT, "a AS m FROM s1 WHERE k = 'click' AND v > 10"), "k", "v", "amount")
 def _(t: Timeline) -> Query:
-    return Query(t, event_filter=((t["k"] == "click") & (t["v"] > 10)).col).metric("m", t["amount"])
+    return Query(t, event_filter=((t["k"] == "click") & (t["v"] > 10))).metric("m", t["amount"])
 
 
 @policy("trigger_signal", chain(_AMT + ", " + _SINCE, "a AS m FROM s1 WHERE e"), "k", "amount")
@@ -241,7 +240,7 @@ def _(t: Timeline) -> Query:
 
 @policy("interval_metric", chain(_VIEW, _TRUE, "d AS life_session_m, d - lag(d, 1, 0) {w} AS interval_m FROM s2 WHERE k <> 'error'"), "k")
 def _(t: Timeline) -> Query:
-    return Query(t, event_filter=(t["k"] != "error").col).metric("life_session_m", M.duration_true(t["k"] == "view"), interval=True)
+    return Query(t, event_filter=t["k"] != "error").metric("life_session_m", M.duration_true(t["k"] == "view"), interval=True)
 
 
 @policy("interval_reset", chain(_VIEW, _TRUE, "d AS m, CASE WHEN starts_with(k, 's') IS NOT DISTINCT FROM lag(starts_with(k, 's')) {w} THEN d - lag(d, 1, 0) {w} WHEN lag(d) {w} IS NULL THEN d ELSE d END AS i"), "k")
@@ -278,7 +277,7 @@ _ALIVE = f"last_value(CASE WHEN k = 'click' THEN t END IGNORE NULLS) {{upto}} AS
 def _(t: Timeline) -> Query:
     """Time in error that no click of the last six hours explains."""
     seen = P.FilterBuilder(t["k"]).filter_values("click").build_clock_filter()
-    recent = P.edge_latch(seen, Signal(t, F.lit(True), False), "6h")
+    recent = P.edge_latch(seen, t.const(True), "6h")
     return Query(t).metric("m", M.duration_true((t["k"] == "error") & ~recent))
 
 
@@ -307,17 +306,91 @@ def _(t: Timeline) -> Query:
     return q.metric("life_session_events", M.peek(clock).scoped(session))
 
 
-def _dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+# What runs as a fold, and operators of one's own.
+
+
+def recursion(init: str, step: str, out: str = "m", extra: str = "") -> str:
+    """A value per event, step from the one before ({s}) and this event; init stands before the first."""
+    cols = "user_id, event_id, k, v, t"
+    return f"""WITH RECURSIVE e AS (SELECT {cols}{extra}, row_number() {W} AS r FROM ({_BASE.format(ts="ts")})),
+    m AS (SELECT e.*, {step.replace("{s}", init)} AS s FROM e WHERE r = 1 UNION ALL SELECT e.*, {step.replace("{s}", "m.s")} FROM m JOIN e ON e.user_id = m.user_id AND e.r = m.r + 1)
+    SELECT user_id, event_id, s AS {out} FROM m"""
+
+
+def _dfa(s: int, x: str) -> int:
     """view, any number of click and error by turns, purchase: the state, -1 once it failed, 9 when done; begun anew at view."""
-    table = {(0, "view"): 1, (1, "click"): 2, (2, "error"): 1, (1, "purchase"): 9}
-    df = events(spark, sf_dir).select("user_id", "event_id", "k")
-    return fold_ops.state_machine(df, "user_id", ["event_id"], "event_id", "k", 0, lambda s, x: 1 if x == "view" else table.get((s, x), -1)).select("user_id", "event_id", "state")
+    return 1 if x == "view" else {(1, "click"): 2, (2, "error"): 1, (1, "purchase"): 9}.get((s, x), -1)
+
+
+_DFA = "CASE WHEN e.k = 'view' THEN 1 WHEN {s} = 1 AND e.k = 'click' THEN 2 WHEN {s} = 2 AND e.k = 'error' THEN 1 WHEN {s} = 1 AND e.k = 'purchase' THEN 9 ELSE -1 END"
+query("state_machine_dfa", recursion("0", _DFA, "state"), "k")(lambda t: {"state": P.StateMachineBuilder(t["k"].clock(), t["k"]).init_state(0).transition_fn(_dfa).build()})
+_SUM = "CAST((CASE WHEN e.edge THEN 5 ELSE {s} END * 3 + length(e.k)) % 1000 AS INT)"
+query("state_machine_scoped", recursion("5", _SUM, extra=", starts_with(k, 's') <> lag(starts_with(k, 's'), 1, false) " + W + " AS edge"), "k")(
+    lambda t: {"m": P.StateMachineBuilder(t["k"].clock(), t["k"]).init_state(5).transition_fn(lambda s, x: (s * 3 + len(x)) % 1000).scoped(t["k"].starts_with("s")).build()}
+)
+query("state_machine_saturating", chain(_EDGE, _RUN, "least(1 + count(*) OVER (PARTITION BY user_id, run ORDER BY t, event_id), 4) AS m"), "k")(
+    lambda t: {"m": (P.StateMachineBuilder(t["k"].clock(), t["k"]).init_state(1).scoped(t["k"].starts_with("s")).saturating(4), "bigint")}
+)
+
+
+def latch_with_timers(ttl: int, others: str = "") -> str:
+    """The level latch with a duration, moment by moment: q holds the times at which moments are due. others: further times."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, t, k = 'view' AS c, v, row_number() {W} AS r FROM ({_BASE.format(ts="ts")})),
+    m AS (SELECT user_id, event_id, r, t, c, v, true AS ext, CASE WHEN c THEN v ELSE 0.0 END AS held, CASE WHEN c THEN t + {ttl} END AS until, CASE WHEN c THEN [t + {ttl}] ELSE CAST([] AS BIGINT[]) END AS q FROM e WHERE r = 1
+      UNION ALL SELECT user_id, CASE WHEN ext THEN x_id END, r + ext::INT, nt, c, v, ext, CASE WHEN c THEN v WHEN nt >= until THEN 0.0 ELSE held END,
+        CASE WHEN c THEN nt + {ttl} WHEN nt >= until THEN NULL ELSE until END, CASE WHEN c THEN list_append(q, nt + {ttl}) ELSE q END
+      FROM (SELECT m.user_id, e.event_id AS x_id, m.r, least(coalesce(m.q[1], e.t), e.t) AS nt, e.t <= coalesce(m.q[1], e.t) AS ext,
+              CASE WHEN e.t <= coalesce(m.q[1], e.t) THEN e.c ELSE m.c END AS c, CASE WHEN e.t <= coalesce(m.q[1], e.t) THEN e.v ELSE m.v END AS v, m.held, m.until,
+              CASE WHEN m.q[1] <= e.t THEN m.q[2:] ELSE m.q END AS q
+            FROM m JOIN e ON e.user_id = m.user_id AND e.r = m.r + 1))
+    SELECT user_id, event_id, held AS m FROM m WHERE ext"""
+
+
+query("level_latch_ttl_exact", latch_with_timers(6 * HOUR), "k", "v")(lambda t: {"m": P.level_latch(t["k"] == "view", t["v"], "6h", "double")})
+query(
+    "generator",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, t // {50 * HOUR} - min(t) OVER (PARTITION BY user_id) // {50 * HOUR} + 1 AS n FROM ({_BASE.format(ts="ts")})),
+    g AS (SELECT 1 AS n, CAST(3 AS BIGINT) AS x UNION ALL SELECT n + 1, (5 * x + 3) % 97 FROM g WHERE n < (SELECT max(n) FROM e)) SELECT user_id, event_id, x AS m FROM e JOIN g USING (n)""",
+    "k",
+)(lambda t: {"m": P.generator(t, lambda s, ts: ((5 * s + 3) % 97, (5 * s + 3) % 97, 50 * HOUR - ts % (50 * HOUR)), 0, "bigint")})
+query("custom_fold", recursion("0", "CAST({s} // 2 + floor(e.v) AS BIGINT)"), "v")(lambda t: {"m": t.custom(lambda s, ts, v: (s // 2 + int(v // 1),) * 2, t["v"], init=0, kind="bigint", default=0)})
+query("custom_window", chain("max(v) {upto} - min(v) {upto} AS m"), "v")(lambda t: {"m": t.window(lambda w, x: F.max(x).over(w) - F.min(x).over(w), t["v"], default=0.0)})
+
+
+def _squared(c: Column) -> Column:
+    return F.pandas_udf(lambda x: x * x, "double")(c)
+
+
+query("custom_map", chain("v * v AS m"), "v")(lambda t: {"m": t["v"].map(_squared, 0.0)})
+query("has_changed", chain("starts_with(k, 's') AS b", "bool_or(b <> lag_b) {upto} AS m FROM (SELECT *, lag(b, 1, false) {w} AS lag_b FROM s1)"), "k")(lambda t: {"m": t["k"].starts_with("s").has_changed()})
+query("fold_init", chain("round(100 + sum(v) {upto}, 4) AS m, least(min(v) {upto}, 20) AS n, greatest(max(v) {upto}, 95) AS o"), "k", "v")(
+    lambda t: {n: P.state_fold(f, t["v"], t["k"].clock(), None, i).map(lambda c: F.round(c, 4), 0.0) for n, f, i in (("m", "SUM", 100.0), ("n", "MIN", 20.0), ("o", "MAX", 95.0))}
+)
+query("annotate_type", chain("CAST(floor(v) AS BIGINT) AS m, CAST(count(*) {upto} AS DOUBLE) AS n"), "v")(lambda t: {"m": t["v"].map(F.floor, 0).cast("bigint"), "n": t.event_clock().cast("double")})
+query("measure_after_timer", chain(_VIEW, _TRUE, f"d + 0 AS m, (t // {5 * HOUR}) % 2 = 1 AS n"), "k")(lambda t: {"m": M.duration_true(t["k"] == "view"), "n": P.square_wave(t, "5h")})
+
+
+@policy(
+    "periodic_measure_scoped",
+    "WITH e AS (" + chain(_VIEW, _TRUE, "t, k, d", key="user_id, ") + f"""), b AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM e GROUP BY user_id),
+    g AS (SELECT user_id, unnest(generate_series(t0 + {24 * HOUR}, t1, {24 * HOUR})) AS t FROM b), h AS (SELECT g.user_id, g.t FROM g JOIN b USING (user_id) WHERE g.t < b.t1),
+    x AS (SELECT h.user_id, h.t AS "at", e.d + CASE WHEN e.k = 'view' THEN h.t - e.t ELSE 0 END AS m, CASE WHEN h.t < c.t + {6 * HOUR} THEN c.v ELSE 0 END AS n
+      FROM h ASOF JOIN e ON h.user_id = e.user_id AND h.t >= e.t ASOF JOIN (SELECT * FROM ({chain(_CHG, "t, v, chg", key="user_id, ")}) WHERE chg) c ON h.user_id = c.user_id AND h.t >= c.t)
+    SELECT user_id, x."at", m, n, m - lag(m, 1, 0) OVER (PARTITION BY user_id ORDER BY x."at") AS i FROM x""",
+    "k", "v", ts="at", events_=False,
+)
+def _(t: Timeline) -> Query:
+    """Two operators with moments of their own, declared before and after the measurement of all."""
+    q = Query(t, at_events=False).metric("m", M.duration_true(t["k"] == "view"), interval="i").every("24h")
+    return q.metric("n", P.edge_latch(t["k"], t["v"], "6h"))
+
 
+def _drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.sources.events import to_json_lines
 
-def _level_latch_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fold_ops.nanos(events(spark, sf_dir), "ts").select("user_id", "event_id", "t", (F.col("k") == "view").alias("c"), "v")
-    return fold_ops.level_latch_ttl(df, "user_id", "t", ["t", "event_id"], "c", "v", 6 * HOUR, 0.0, "m", "double").select("user_id", "event_id", "m")
+    t = timeline(spark, sf_dir, "k")
+    return to_json_lines(Query(t).metric("m", t["k"].count_changes()).metric("k", t["k"]).run("user_id", None, {"event_id": "event_id"}))
 
 
-QUERIES["state_machine_dfa"] = _dfa
-QUERIES["level_latch_ttl_exact"] = _level_latch_exact
+QUERIES["drain_json"] = _drain
+ORACLES["drain_json"] = "SELECT CAST(to_json({'user_id': user_id, 'event_id': event_id, 'm': m, 'k': k}) AS VARCHAR) AS value FROM (" + chain(_CHG, "CAST(sum(chg::INT) {upto} AS BIGINT) AS m, k") + ")"

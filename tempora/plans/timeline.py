@@ -1,13 +1,16 @@
 """Timelines: the moments of every entity, and the signals on them.
 
-A Timeline is built from sparse events (null: not assigned) and gains a column for
-each signal that a window is needed on; plain expressions stay expressions and are
-left to Catalyst. Operators with timers insert moments of their own, within the
-partition, so that a whole query has one exchange on the entity's key.
+A Timeline holds sparse events (null: not assigned). Signals on it only tell what to
+compute; nothing is planned before a Query runs. Then operators with timers insert
+moments of their own, layer by layer, and only when all moments are there are levels
+derived, so the order in which signals, measurements and timers are declared doesn't
+matter. Nodes are computed by depth: what needs no other window first, in one
+selection for each depth, all windows over one exchange and one order.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -16,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import levels as L
+from tempora.plans import nodes as N
+
+MEASURE, FOLLOW, LAST, FIRST = "_measure", "_follow", "_last", "_first"
 
 
 @dataclass(frozen=True)
@@ -38,81 +44,102 @@ class Field:
         return {"string": "", "boolean": False, "double": 0.0, "float": 0.0}.get(self.type, 0)
 
 
+def _tuple(*cols: Any) -> Any:
+    return F.struct(*[c.alias(f"_{i}") for i, c in enumerate(cols)])
+
+
+def _if(c: Column, a: Column, b: Column) -> Column:
+    return F.when(c, a).otherwise(b)
+
+
+def _not(a: Column) -> Column:
+    return ~a
+
+
 class Signal:
     """A level at every moment. Comparisons and arithmetic give signals; truth does not exist."""
 
-    def __init__(self, line: Timeline, col: Column, default: Any, name: str | None = None, field: str | None = None) -> None:
-        self.line, self.col, self.default, self.name, self.field = line, col, default, name, field
+    def __init__(self, line: Timeline, node: N.Node, default: Any) -> None:
+        self.line, self.node, self.default = line, node, default
 
     def __bool__(self) -> bool:
         raise TypeError("a signal has no single truth value; write (a > 0) & (a < 9)")
 
     __hash__ = object.__hash__
 
-    def _with(self, other: Any, f: Callable[[Column, Any], Column], default: Any) -> Signal:
-        return Signal(self.line, f(self.col, other.col if isinstance(other, Signal) else F.lit(other)), default)
+    def with_(self, f: Callable[..., Any], *others: Any, default: Any = None, py: Callable[..., Any] | None = None, total: bool = False) -> Signal:
+        """f of self and others (signals or literals), given as columns; py: the same of plain values, where f can't do both."""
+        inputs = tuple(o.node if isinstance(o, Signal) else N.Const(value=o) for o in (self, *others))
+        return Signal(self.line, N.Apply(inputs, default, f=f, py=py, total=total), default)
 
     def __eq__(self, o: Any) -> Signal:  # type: ignore[override]
-        return self._with(o, lambda a, b: a == b, False)
+        return self.with_(operator.eq, o, default=False, total=True)
 
     def __ne__(self, o: Any) -> Signal:  # type: ignore[override]
-        return self._with(o, lambda a, b: a != b, False)
+        return self.with_(operator.ne, o, default=False, total=True)
 
     def __lt__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a < b, False)
+        return self.with_(operator.lt, o, default=False, total=True)
 
     def __le__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a <= b, False)
+        return self.with_(operator.le, o, default=False, total=True)
 
     def __gt__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a > b, False)
+        return self.with_(operator.gt, o, default=False, total=True)
 
     def __ge__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a >= b, False)
+        return self.with_(operator.ge, o, default=False, total=True)
 
     def __and__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a & b, False)
+        return self.with_(operator.and_, o, default=False, total=True)
 
     def __or__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a | b, False)
+        return self.with_(operator.or_, o, default=False, total=True)
 
     def __xor__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a != b, False)
+        return self.with_(operator.ne, o, default=False, total=True)
 
     def __invert__(self) -> Signal:
-        return Signal(self.line, ~self.col, False)
+        return self.with_(_not, default=False, py=operator.not_, total=True)
 
     def __add__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a + b, self.default)
+        return self.with_(operator.add, o, default=self.default, total=True)
 
     def __sub__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a - b, self.default)
+        return self.with_(operator.sub, o, default=self.default, total=True)
 
     def __mul__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a * b, self.default)
+        return self.with_(operator.mul, o, default=self.default, total=True)
 
     def __truediv__(self, o: Any) -> Signal:
-        return self._with(o, lambda a, b: a / b, 0.0)
+        return self.with_(operator.truediv, o, default=0.0)
 
-    def map(self, f: Callable[[Column], Column], default: Any) -> Signal:
-        return Signal(self.line, f(self.col), default)
+    def map(self, f: Callable[[Column], Column], default: Any, py: Callable[[Any], Any] | None = None) -> Signal:
+        """f of the column, a pandas UDF if need be; py: the same of a plain value, for folds, where f can't do both."""
+        return self.with_(f, default=default, py=py)
 
     def cast(self, kind: str, default: Any = 0) -> Signal:
-        return self.map(lambda c: c.cast(kind), default)
+        convert = {"double": float, "float": float, "string": str, "boolean": bool}.get(kind, int)
+        return self.with_(lambda c: c.cast(kind), default=default, py=convert)
 
     def parse(self, kind: str, default: Any = 0) -> Signal:
-        return self.map(lambda c: L.parse(c, kind, default), default)
+        return self.with_(lambda c: L.parse(c, kind, default), default=default, py=lambda v: L.parsed(v, kind, default), total=True)
 
     def starts_with(self, text: str) -> Signal:
-        return self.map(lambda c: c.startswith(text), False)
+        return self.with_(lambda c: c.startswith(text), default=False, py=lambda v: v.startswith(text), total=True)
 
     def timestamp(self) -> Signal:
-        return self.map(F.unix_seconds, 0)
+        """A time's seconds since 1970."""
+        return self.with_(F.unix_seconds, default=0, py=lambda v: int(v.timestamp()))
 
     def rank(self) -> Signal:
         """The ordinal of an enumeration's value."""
         values = self.line.fields[self.field].values
-        return self.map(lambda c: F.array_position(F.array(*map(F.lit, values)), c).cast("int") - 1, 0)
+        return self.with_(lambda c: F.array_position(F.array(*map(F.lit, values)), c).cast("int") - 1, default=0, py=values.index, total=True)
+
+    @property
+    def field(self) -> str | None:
+        return self.node.name if type(self.node) is N.Base and self.node.name in self.line.fields else None
 
     def clock(self) -> Signal:
         """The companion clock of an input field."""
@@ -120,14 +147,21 @@ class Signal:
             raise ValueError("only an input field has a clock")
         return self.line.signal(f"{self.field}__clock")
 
+    def changes(self) -> Signal:
+        """Whether self differs from the moment before; at first, from the type's default."""
+        return Signal(self.line, N.Changed((self.node,), False, against=self.default), False)
+
+    def before(self) -> Signal:
+        return Signal(self.line, N.Prev((self.node,), self.default), self.default)
+
     # sugar over the operators
     def count_changes(self) -> Signal:
         from tempora.operators import processors as P
 
-        return P.accumulate(self, Signal(self.line, F.lit(1), 0))
+        return P.accumulate(self, self.line.const(1))
 
     def has_been_true(self, within: int | str = -1) -> Signal:
-        """Whether self was true before or, with a duration, is true or was within it (see the fold for the moment-grid variant)."""
+        """Whether self was true before or, with a duration, is true or was within it (level_latch has the moment-grid variant)."""
         from tempora.operators import processors as P
 
         return P.been_true(self, within)
@@ -135,7 +169,7 @@ class Signal:
     def has_changed(self, within: int | str = -1) -> Signal:
         from tempora.operators import processors as P
 
-        return P.edge_latch(self, Signal(self.line, F.lit(True), False), within)
+        return P.edge_latch(self, self.line.const(True), within)
 
     def moving_average(self, n: int) -> Signal:
         from tempora.operators import processors as P
@@ -152,84 +186,159 @@ class Signal:
 
 
 class Timeline:
-    def __init__(self, frame: DataFrame, fields: dict[str, Field], signals: dict[str, Any], carried: Sequence[str]) -> None:
-        self.frame, self.fields, self.defaults, self.carried = frame, fields, signals, list(carried)
-        self._known: dict[str, str] = {}
-        self._n = 0
+    def __init__(self, rows: DataFrame, fields: dict[str, Field], merge: bool, carried: Sequence[str]) -> None:
+        self.rows, self.fields, self.merge, self.carried = rows, fields, merge, list(carried)
+        self._ahead = 0
 
     @classmethod
     def of(cls, events: DataFrame, key: str, ts: str, seq: Sequence[str], fields: dict[str, Field], merge: bool = True, carried: Sequence[str] = ()) -> Timeline:
         """fields name the columns of events; merge: events of one time make one moment."""
         order = F.struct(*seq) if len(seq) > 1 else F.col(seq[0])
         time = F.col(ts) if dict(events.dtypes)[ts] == "bigint" else L.nanos(F.col(ts))
-        df = events.select(F.col(key).alias(L.KEY), time.alias(L.TS), order.alias(L.SEQ), F.lit(True).alias(L.EXT), *[F.col(f.source or n).cast(f.type).alias(n) for n, f in fields.items()], *[F.col(c).alias(f"_c_{c}") for c in carried])
-        new, signals = {"_clock": F.count(F.lit(1)).over(L.so_far())}, {"_clock": 0}
-        for n, f in fields.items():
-            x = F.when(F.col(n).isin(*f.values), F.col(n)) if f.values else F.col(n)
-            new[n] = F.coalesce(x, F.lit(f.initial)) if f.volatile else L.held(x, f.initial)
-            new[f"{n}__clock"] = F.count(F.lit(1)).over(L.so_far()) if f.volatile else L.clock(x)
-            signals |= {n: f.initial, f"{n}__clock": 0}
-        df = df.withColumns(new)
-        if merge:
-            df = df.withColumn("_next", F.lead(L.TS).over(L.moments())).where(F.col("_next").isNull() | (F.col("_next") != F.col(L.TS))).drop("_next")
-        return cls(df, fields, signals, [f"_c_{c}" for c in carried])
+
+        def patch(n: str, f: Field) -> Column:
+            x = F.col(f"`{f.source or n}`").cast(f.type)
+            return F.when(x.isin(*f.values), x) if f.values else x
+
+        rows = events.select(F.col(key).alias(L.KEY), time.alias(L.TS), order.alias(L.SEQ), F.lit(True).alias(L.EXT), *[patch(n, f).alias(n) for n, f in fields.items()], *[F.col(c).alias(f"_c_{c}") for c in carried])
+        return cls(rows, fields, merge, [f"_c_{c}" for c in carried])
 
     def signal(self, name: str) -> Signal:
-        return Signal(self, F.col(f"`{name}`"), self.defaults[name], name, name if name in self.fields else None)
+        if name in self.fields:
+            initial = self.fields[name].initial
+        elif name == "_clock" or name.removesuffix("__clock") in self.fields:
+            initial = 0
+        else:
+            raise KeyError(name)
+        return Signal(self, N.Base(default=initial, name=name), initial)
 
     __getitem__ = signal
 
     def event_clock(self) -> Signal:
         return self.signal("_clock")
 
+    def now(self) -> Signal:
+        return Signal(self, N.Now(), 0)
+
     def const(self, value: Any) -> Signal:
-        return Signal(self, F.lit(value), {str: "", bool: False, float: 0.0}.get(type(value), 0))
-
-    def add(self, col: Column, default: Any, name: str | None = None) -> Signal:
-        """A signal with a column of its own; equal expressions share one."""
-        told = str(col)
-        if name is None and told in self._known:
-            return self.signal(self._known[told])
-        if name is None:
-            self._n += 1
-            name = f"_s{self._n}"
-            self._known[told] = name
-        self.frame = self.frame.withColumn(name, col)
-        self.defaults[name] = default
-        return self.signal(name)
-
-    def own(self, s: Signal) -> Signal:
-        return s if s.name else self.add(s.col, s.default)
-
-    def insert(self, times: Column, measure: bool = False) -> None:
-        """Add the engine's own moments at the times (array of BIGINT) that each row schedules, before the entity's last event.
-
-        A time that has a moment already gets none. Levels are carried on."""
-        names = [c for c in self.frame.columns if c not in (L.KEY, L.TS, L.SEQ, L.EXT)]
-        if measure and "_measure" not in names:
-            self.frame = self.frame.withColumn("_measure", F.lit(False))
-            self.defaults["_measure"] = False
-            names.append("_measure")
-        types = dict(self.frame.dtypes)
-        last = F.max(F.when(F.col(L.EXT), F.col(L.TS))).over(Window.partitionBy(L.KEY).orderBy(L.TS, L.SEQ).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        df = self.frame.withColumn("_last", last).withColumn("_times", F.filter(F.coalesce(times, F.array().cast("array<bigint>")), lambda t: t < F.col("_last")))
-        row = F.struct(F.col(L.TS).alias(L.TS), F.col(L.SEQ).alias(L.SEQ), F.col(L.EXT).alias(L.EXT), *[F.col(n).alias(n) for n in names])
-
-        def own(t: Column) -> Column:
-            return F.struct(t.alias(L.TS), F.lit(None).cast(types[L.SEQ]).alias(L.SEQ), F.lit(False).alias(L.EXT), *[(F.lit(True) if measure and n == "_measure" else F.lit(None).cast(types[n])).alias(n) for n in names])
-
-        df = df.select(L.KEY, F.explode(F.concat(F.array(row), F.transform("_times", own))).alias("_r")).select(L.KEY, "_r.*")
-        same = Window.partitionBy(L.KEY).orderBy(L.TS, F.col(L.SEQ).asc_nulls_last())
-        df = df.withColumn("_twin", F.lag(L.TS).over(same))
-        if measure:  # the time is measured even where another moment stands already
-            df = df.withColumn("_measure", F.coalesce("_measure", F.lit(False)) | F.coalesce(F.max("_measure").over(Window.partitionBy(L.KEY, L.TS)), F.lit(False)))
-        df = df.where(F.col(L.SEQ).isNotNull() | F.col("_twin").isNull() | (F.col("_twin") != F.col(L.TS))).drop("_twin")
-        skip = {*self.carried, "_measure"}
-        self.frame = df.withColumns({n: F.coalesce(F.last(n, ignorenulls=True).over(L.so_far()), F.lit(self.defaults.get(n))) for n in names if n not in skip})
-        if "_measure" in names:
-            self.frame = self.frame.withColumn("_measure", F.coalesce("_measure", F.lit(False)))
-        self._known = {}
-
-    def scope_run(self, scope: Signal) -> Column:
-        """A number that grows with each change of scope."""
-        return F.sum(L.changed(self.own(scope).col, scope.default).cast("int")).over(L.so_far())
+        return Signal(self, N.Const(value=value), {str: "", bool: False, float: 0.0}.get(type(value), 0))
+
+    def next_event(self, live: Column, py: Callable[[dict], bool] | None = None, span: int = 0) -> Signal:
+        """The time of the next event that is live, told by its own fields (null: not assigned)."""
+        self._ahead += 1
+        return Signal(self, N.Next(name=f"_next{self._ahead}", live=live, py=py, span=span), 0)
+
+    def window(self, f: Callable[..., Column], *inputs: Signal, default: Any = None, py: Callable[..., tuple[Any, Any]] | None = None, init: Any = None) -> Signal:
+        """A signal by a window expression of one's own: f(window of the moments so far, the inputs' columns)."""
+        return Signal(self, N.Windowed(tuple(i.node for i in inputs), default, f=f, py=py, init=init), default)
+
+    def custom(self, f: Callable[..., tuple], *inputs: Signal, init: Any, kind: str, default: Any = None) -> Signal:
+        """A signal by a fold of one's own: f(state, ts, *inputs) -> (state, value), or with a duration until the next moment."""
+        return Signal(self, N.Custom(tuple(i.node for i in inputs), default, f=f, init=init, kind=kind), default)
+
+    # lowering
+
+    def _next(self, nodes: list[N.Node]) -> dict[str, Column]:
+        after = L.moments().rowsBetween(1, Window.unboundedFollowing)
+        return {n.name: F.coalesce(F.min(F.when(n.live, F.col(L.TS))).over(after), F.lit(N.NEVER)) for n in nodes if isinstance(n, N.Next)}
+
+    def levels(self, nodes: list[N.Node]) -> tuple[DataFrame, list[str]]:
+        """(the events' moments with levels and clocks, names of these)."""
+        new = self._next(nodes)
+        new["_clock"] = F.count(F.lit(1)).over(L.so_far())
+        for n, f in self.fields.items():
+            x = F.col(f"`{n}`")
+            new[n] = F.coalesce(x, F.lit(f.initial)) if f.volatile else L.held(x, f.initial)
+            new[f"{n}__clock"] = F.count(F.lit(1)).over(L.so_far()) if f.volatile else L.clock(x)
+        new[FOLLOW] = F.lead(L.TS).over(L.moments())
+        df = self.rows.withColumns(new)
+        if self.merge:
+            df = df.where(F.col(FOLLOW).isNull() | (F.col(FOLLOW) != F.col(L.TS)))
+        names = [n for n in new if n != FOLLOW]
+        return df.select(L.KEY, L.TS, L.SEQ, L.EXT, *[f"`{n}`" for n in names], *self.carried), names
+
+    def columns(self, df: DataFrame, roots: list[N.Node], extra: dict[str, Column] | None = None) -> tuple[DataFrame, list[Column]]:
+        """df with the windowed nodes that roots need, and the roots' columns; extra columns are added with the first windows."""
+        nodes, number = N.canonical(roots)
+        cols: list[Column] = []
+        depth: list[int] = []
+        layers: dict[int, dict[str, Column]] = {1: dict(extra or {})}
+        for i, n in enumerate(nodes):
+            own = [number[id(x)] for x in n.inputs]
+            expr = n.lower(*[cols[j] for j in own])
+            d = max([depth[j] for j in own], default=0)
+            if n.windowed:
+                d += 1
+                layers.setdefault(d, {})[f"_n{i}"] = expr
+                expr = F.col(f"_n{i}")
+            cols.append(expr)
+            depth.append(d)
+        for d in sorted(layers):
+            if layers[d]:
+                df = df.withColumns(layers[d])
+        return df, [cols[number[id(r)]] for r in roots]
+
+    def insert(self, df: DataFrame, names: list[str], timers: list[N.Timer]) -> DataFrame:
+        """df with the moments of the timers, before the entity's last event; one that coincides with another is dropped.
+
+        Regular moments are told by the row before them, so no row carries more than lie in one gap between events."""
+        ts, long = F.col(L.TS), "bigint"
+        whole = L.moments().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        extra: dict[str, Column] = {}
+        if any(t.at is not None for t in timers):
+            extra[LAST] = F.max(F.when(F.col(L.EXT), ts)).over(whole)
+        if any(t.at is None for t in timers):
+            extra[FOLLOW] = F.lead(L.TS).over(L.moments())
+        if any(t.measure for t in timers):
+            extra[FIRST] = F.first(L.TS).over(L.so_far())
+        df, at = self.columns(df, [t.at for t in timers if t.at is not None], extra)
+        at = iter(at)
+        plain: list[Column] = []
+        measured: list[Column] = []
+        for t in timers:
+            if t.at is not None:
+                due = ts + F.lit(t.offset)
+                plain.append(F.when(next(at) & (due < F.col(LAST)), F.array(due)))
+                continue
+            origin = F.col(FIRST) if t.measure else F.lit(t.phase).cast(long)
+            step = F.lit(t.period).cast(long)
+            due = ts - F.pmod(ts - origin, step) + step
+            end = F.col(FOLLOW) if t.measure else F.col(FOLLOW) - 1
+            (measured if t.measure else plain).append(F.when(due <= end, F.sequence(due, end, step)))
+        none = F.array().cast("array<bigint>")
+        kept = [n for n in (MEASURE,) if n in df.columns]
+        times = [F.transform(F.coalesce(x, none), lambda t: F.struct(t.alias("t"), F.lit(False).alias("m"))) for x in plain]
+        times += [F.transform(F.coalesce(x, none), lambda t: F.struct(t.alias("t"), F.lit(True).alias("m"))) for x in measured]
+        own = F.array(F.struct(F.lit(None).cast(long).alias("t"), (F.col(MEASURE) if kept else F.lit(False)).alias("m")))
+        rows = df.select(L.KEY, L.TS, L.SEQ, L.EXT, *[f"`{n}`" for n in names], *self.carried, F.explode(F.concat(own, *times)).alias("_x"))
+        given = F.col("_x.t").isNull()
+        rows = rows.select(
+            L.KEY, F.coalesce("_x.t", L.TS).alias(L.TS), F.when(given, F.col(L.SEQ)).alias(L.SEQ), (given & F.col(L.EXT)).alias(L.EXT), F.col("_x.m").alias(MEASURE),
+            *[F.when(given, F.col(f"`{n}`")).alias(n) for n in (*names, *self.carried)],
+        )
+        filled = {n: F.last(f"`{n}`", ignorenulls=True).over(L.so_far()) for n in names}
+        filled[FOLLOW] = F.lead(L.TS).over(L.moments())
+        if measured or kept:  # the time is measured even where another moment stands
+            filled[MEASURE] = F.coalesce(F.last(F.when(F.col(MEASURE), ts), ignorenulls=True).over(L.so_far()) == ts, F.lit(False))
+        rows = rows.withColumns(filled).where(F.col(L.EXT) | F.col(FOLLOW).isNull() | (F.col(FOLLOW) != ts)).drop(FOLLOW)
+        return rows if measured or kept else rows.drop(MEASURE)
+
+    def lower(self, roots: list[N.Node], every: Sequence[N.Timer] = ()) -> tuple[DataFrame, list[Column]]:
+        """(all moments, the roots' columns)."""
+        nodes, number = N.canonical(roots)
+        df, names = self.levels(nodes)
+        layer: list[int] = []
+        due: dict[int, dict[tuple, N.Timer]] = {}
+        for n in nodes:
+            own = max([layer[number[id(x)]] for x in n.inputs], default=0)
+            for t in n.timers:
+                at = layer[number[id(t.at)]] if t.at is not None else 0
+                mark = (number[id(t.at)] if t.at is not None else None, t.offset, t.period, t.phase)
+                due.setdefault(at, {})[mark] = t
+                own = max(own, at + 1)
+            layer.append(own)
+        for t in every:
+            due.setdefault(0, {})[None, 0, t.period, -1] = t
+        for k in sorted(due):
+            df = self.insert(df, names, list(due[k].values()))
+        return self.columns(df, roots)

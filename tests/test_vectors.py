@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.functions import levels as L
-from tempora.operators import fold, measurements as M, processors as P
+from tempora.operators import measurements as M, processors as P
 from tempora.plans.policy import Query
 from tempora.plans.timeline import Field, Signal, Timeline
 
@@ -44,9 +44,10 @@ def test_level_latch(spark):
     assert run(spark, rows, lambda t: P.level_latch(t["c"] == 1, t["d"])) == [1, 1, 3, 3, 3, 6, 6]
 
 
-def test_level_latch_with_duration():
+def test_level_latch_with_duration(spark):
     control = [True, False, False, True, True, False, False, False]
-    assert fold.latched(list(range(8)), control, [1, 2, 2, 2, 2, 3, 2, 2], 2, 0) == [1, 1, 0, 2, 2, 2, 0, 0]
+    rows = [(None, d, c) for c, d in zip(control, [1, 2, 2, 2, 2, 3, 2, 2], strict=True)]
+    assert run(spark, rows, lambda t: P.level_latch(t["b"], t["d"], 2, "bigint")) == [1, 1, 0, 2, 2, 2, 0, 0]
 
 
 def test_duration_of_previous_level(spark):
