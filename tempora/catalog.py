@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import suite
+from tempora.plans import demos, suite
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(suite.QUERIES)
+    return suite.QUERIES | demos.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(suite.ORACLES)
+    return suite.ORACLES | demos.ORACLES

@@ -94,9 +94,10 @@ class Machine:
         if not when or not all(got[r[f"gate{i}"]] for i in range(self.gates)):
             return None
         row = {n: got[r[f"m_{n}"]] for n, _ in self.metrics}
-        out = dict(row)
+        out: dict[str, Any] = {}
         reset = got[r["reset"]] if "reset" in r else None
         for n, interval in self.metrics:
+            out[n] = row[n]
             if interval:
                 kept = s.before is not None and (s.before[n] is None or s.before["_reset"] == reset)
                 out[interval] = row[n] - ((s.before[n] or 0) if kept else 0)

@@ -299,10 +299,10 @@ def session_ids(clock: Signal, gap: int | str) -> tuple[Signal, Signal]:
 def sessionized(line: Timeline, field: str, session: Signal, default: Any = None) -> Signal:
     """A field's level if it was assigned in this session, else its default."""
     level, clock = line.signal(field), line.signal(f"{field}__clock")
-    return sessionized_by(level, session, edge_latch(session, line.now()), edge_latch(clock, line.now()), default)
+    return sessionized_by(level, edge_latch(session, line.now()), edge_latch(clock, line.now()), default)
 
 
-def sessionized_by(level: Signal, session: Signal, began: Signal, assigned: Signal, default: Any = None) -> Signal:
-    """level where it was assigned, by a clock of one's own, since the session began."""
+def sessionized_by(level: Signal, began: Signal, assigned: Signal, default: Any = None) -> Signal:
+    """level where it was assigned no earlier, by an epoch of one's own, than the session began."""
     default = level.default if default is None else default
     return if_(began <= assigned, level, Signal(level.line, N.Const(value=default), level.default))
