@@ -7,9 +7,11 @@ neighbours. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Make sure that there is a checkpoint folder: the session's own, or a
-    temporary one in tests, where spark.checkpoint.dir is unset."""
+    """Make sure that there is a checkpoint folder: the session's own. Without one only a local
+    session gets a temporary one; a cluster's executors couldn't share it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names."""
+    sc = spark.sparkContext
+    if told := sc.getConf().get("spark.checkpoint.dir"):
+        return told
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -134,8 +146,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Words that are longer are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+_STIR = np.random.default_rng(61).integers(0, 2**63, LONG // 8 + 1, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span(prefix(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    """64-bit hashes of words, eight bytes at a time; every step is mixed, so no family of words collides by algebra
+    (as it does under a polynomial modulo 2^64). Equal hashes of different words are a matter of 2^-64 a pair."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    size = ends - starts
+    out = size.astype(np.uint64) * _STIR[-1]
+    left = np.flatnonzero(size <= LONG)
+    k = 0
+    while len(left):
+        part = eight[starts[left] + 8 * k] & _MASK[np.minimum(size[left] - 8 * k, 8)]
+        out[left] = mix((out[left] ^ part) * _STIR[k])
+        k += 1
+        left = left[size[left] > 8 * k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def trim() -> None:
+    """Give what a task no longer needs back to the system; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def flags(f: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int = 4096) -> Callable[..., Column]:
+    """A column function: f(offsets, bytes) -> a boolean for each text of a run. Only texts go to Python and only
+    flags come back; the other columns stay in the JVM."""
+
+    def run(col: pa.Array) -> pa.Array:
+        out = [np.asarray(f(off, data), bool) for *_, off, data in runs(col, rows=rows)]
+        trim()
+        return pa.array(np.concatenate([*out, np.zeros(0, bool)]))
+
+    run.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "boolean")
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, extra: list[str]) -> pa.Table:

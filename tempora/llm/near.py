@@ -21,6 +21,7 @@ blocks of BLOCK classes, too.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -107,7 +108,7 @@ def least_equal(percent: int) -> int:
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128-bit digest of the set), sig (null without shingles)."""
+    """doc_id, n_shingles, set_a, set_b (128-bit digest of the set's sorted hashes), sig (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,9 +121,9 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 if len(h):
                     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                     own = doc[first]
-                    digests[0, own], digests[1, own] = np.add.reduceat(C.mix(h), first), np.bitwise_xor.reduceat(C.mix(h * _STEP[0]), first)
-                    for i, row in zip(own.tolist(), registers(h, first), strict=True):
+                    for i, row, a, z in zip(own.tolist(), registers(h, first), first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
                         sig[i] = row.tobytes()
+                        digests[:, i] = np.frombuffer(hashlib.blake2b(h[a:z], digest_size=16).digest(), np.uint64)
                 yield C.batch({"doc_id": b.column(0).slice(lo, n), "n_shingles": size.astype(np.int64), "set_a": digests[0].view(np.int64), "set_b": digests[1].view(np.int64), "sig": pa.array(sig, pa.binary())})
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
@@ -344,14 +345,41 @@ def verified_in_blocks(pairs: DataFrame, labels: DataFrame, held: DataFrame, per
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
-    Null and empty texts have no shingles and are linked with nothing. Rows that
-    repeat a doc_id have its component, those without one have none and are kept.
-    Ties need no rule: a component's id is its smallest doc_id. Further columns
+    Null and empty texts have no shingles and are linked with nothing. A component's id
+    is its smallest doc_id, null if it has none. Where doc_ids repeat or are null, rows
+    are told apart: of a component one row is kept, the first by doc_id. Further columns
     aren't read, whatever they are called.
     """
     C.ready(docs.sparkSession)
-    rows = C.cut(signatures(docs, k, id_col, text_col))
-    filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = C.cut(signatures(own, k, "doc_id", "text"))
+    if not _ambiguous(rows):
+        return _link(own, rows, k, percent)
+    told = _numbered(own, "doc_id")
+    found = C.cut(_link(told.select(F.col("_row").alias("doc_id"), "text"), None, k, percent))
+    names = told.select(F.col("_row"), F.col("doc_id").alias("name"))
+    first = names.select(F.col("_row").alias("component_id"), F.col("name").alias("smallest"))
+    return (
+        found.join(names, found.doc_id == names._row).join(first, "component_id")
+        .select(F.col("name").alias("doc_id"), "n_shingles", F.col("smallest").alias("component_id"), "kept")
+    )
+
+
+def _ambiguous(rows: DataFrame) -> bool:
+    """Whether a doc_id is null or repeats."""
+    return not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs, stored, with _row: a number that grows with the id, nulls last."""
+    return C.store(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _link(docs: DataFrame, rows: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """link() of doc_id (unique, not null) and text; rows: the result of signatures(), if it is there already."""
+    id_col, text_col = "doc_id", "text"
+    rows = C.cut(signatures(docs, k, id_col, text_col)) if rows is None else rows
+    filled = rows.where("n_shingles > 0")
     classes = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     reps = filled.join(classes.withColumnRenamed("id", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
     spread = buckets(reps)
@@ -371,7 +399,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         labels = ids.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     by_class = classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
     owned = filled.join(by_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component")
-    rest = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    rest = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return owned.unionByName(rest).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -380,6 +408,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are kept: of each component the one of smallest doc_id."""
-    gone = link(docs, k, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs, all columns, that are kept: of each component the one of smallest doc_id.
+
+    Where ids repeat or are null one row of each component stays all the same. Texts without shingles stay."""
+    C.ready(docs.sparkSession)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = C.cut(signatures(own, k, "doc_id", "text"))
+    if not _ambiguous(rows):
+        gone = _link(own, rows, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    told = _numbered(docs, id_col)
+    gone = _link(told.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), None, k, percent).where("NOT kept").select(F.col("doc_id").alias("_row"))
+    return told.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
