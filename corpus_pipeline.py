@@ -9,12 +9,11 @@ Between stages the rows are written as Parquet and read again.
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, decontaminate, near, quality, secrets
+from tempora.llm import bpe, common, decontaminate, near, quality, secrets
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +53,8 @@ ORACLE_SQL = None
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder, or a temporary one where that is unset, as in tests."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline")
-    return posixpath.join(top, f"pipeline-{uuid.uuid4().hex}")
+    """A new folder in the one that the cluster shares."""
+    return posixpath.join(common.shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
