@@ -4,7 +4,7 @@ Base rules are regular expressions. Beside them, candidate strings (long runs of
 hexadecimal or base64 characters) are scanned by a sliding window whose Shannon
 entropy follows from character counts updated by one entering and one leaving
 character; a window over its class's threshold marks the string, unless the
-string is on the allow list or overlaps a base finding.
+string is on the allow list or a base finding covers it.
 
 Every pattern is only tried on texts that a cheap necessary pattern accepts.
 Matches are located by extracting, in one pass anchored at the previous match,
@@ -13,6 +13,7 @@ each gap and the match behind it: start = lengths of all gaps and matches before
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -81,32 +82,41 @@ def _spans(text: str, kind: int, pattern: str, least: int, need: str) -> Column:
     ELSE CAST(array() AS array<struct<k:int,s:int,e:int,n:int>>) END""")
 
 
-def _xlog(c: str) -> str:
-    return f"CASE WHEN {c} > 1 THEN CAST(round({c} * log2({c}) * {UNIT}) AS BIGINT) ELSE 0L END"
+#: Counts of a window are packed into 64-bit numbers, so that an update touches few values whatever the alphabet.
+COUNT_BITS = 5
+PACKED = 60 // COUNT_BITS
 
 
 def _hot(kind: int, c: EntropyClass, value: str) -> str:
     """The span, relative to value's start, from the first window over the threshold to the end of the last one; null without any.
 
-    H = log2(W) - sum(c log2 c) / W, so H >= bits if the sum is at most W (log2(W) - bits)."""
-    w, a = c.window, _lit(c.alphabet)
+    H = log2(W) - sum(c log2 c) / W, so H >= bits if the sum is at most W (log2(W) - bits).
+    The value is turned to symbol numbers once, so the scan is linear in its length."""
+    w = c.window
+    if w >= 1 << COUNT_BITS:
+        raise ValueError(f"windows of {w} characters; counts have {COUNT_BITS} bits")
     most = f"CAST(floor({w} * (log2({w}) - {c.bits}) * {UNIT}) AS BIGINT)"
-    enter, leave = f"instr({a}, substring({value}, i, 1))", f"instr({a}, substring({value}, i - {w}, 1))"
+    logs = [round(n * math.log2(n) * UNIT) if n > 1 else 0 for n in range(w + 2)]
+    # what the sum gains when a count of n grows by one
+    gain = "array(" + ", ".join(f"{b - a}L" for a, b in zip(logs, logs[1:], strict=False)) + ")"
+    words = -(-len(c.alphabet) // PACKED)
+
+    def count(x: str) -> str:
+        return f"CAST(shiftright(element_at(a.n, CAST({x} div {PACKED} AS INT) + 1), {COUNT_BITS} * CAST({x} % {PACKED} AS INT)) & {(1 << COUNT_BITS) - 1} AS INT)"
+
+    def moved(x: str, sign: str) -> str:
+        return f"transform(a.n, (c, k) -> IF(k = {x} div {PACKED}, c {sign} shiftleft(1L, {COUNT_BITS} * CAST({x} % {PACKED} AS INT)), c))"
+
     return f"""
-    aggregate(sequence(1, length({value})),
-      named_struct('n', array_repeat(0, {len(c.alphabet)}), 'sum', 0L, 'x', 0, 'y', 0, 'lo', CAST(NULL AS INT), 'hi', CAST(NULL AS INT)),
-      (a0, i) -> aggregate(array(1, 2, 3), named_struct('n', a0.n, 'sum', a0.sum, 'x', {enter}, 'y', IF(i > {w}, {leave}, 0), 'lo', a0.lo, 'hi', a0.hi),
+    transform(array(transform(split({value}, ''), h -> instr({_lit(c.alphabet)}, h) - 1)), xs ->
+    aggregate(sequence(1, size(xs)),
+      named_struct('n', array_repeat(0L, {words}), 'sum', 0L, 'lo', CAST(NULL AS INT), 'hi', CAST(NULL AS INT)),
+      (a0, i) -> aggregate(array(1, 2, 3), a0,
         (a, phase) -> CASE phase
-          WHEN 1 THEN IF(a.y = 0, a, named_struct(
-              'n', transform(a.n, (c, k) -> IF(k + 1 = a.y, c - 1, c)),
-              'sum', a.sum - {_xlog('element_at(a.n, a.y)')} + {_xlog('(element_at(a.n, a.y) - 1)')},
-              'x', a.x, 'y', a.y, 'lo', a.lo, 'hi', a.hi))
-          WHEN 2 THEN named_struct(
-              'n', transform(a.n, (c, k) -> IF(k + 1 = a.x, c + 1, c)),
-              'sum', a.sum - {_xlog('element_at(a.n, a.x)')} + {_xlog('(element_at(a.n, a.x) + 1)')},
-              'x', a.x, 'y', a.y, 'lo', a.lo, 'hi', a.hi)
-          ELSE IF(i >= {w} AND a.sum <= {most}, named_struct('n', a.n, 'sum', a.sum, 'x', a.x, 'y', a.y, 'lo', coalesce(a.lo, i - {w}), 'hi', i), a) END),
-      a -> IF(a.lo IS NULL, CAST(NULL AS {_SPAN}), named_struct('k', {kind}, 's', a.lo, 'e', a.hi)))"""
+          WHEN 1 THEN IF(i <= {w}, a, named_struct('n', {moved(f'xs[i - {w + 1}]', '-')}, 'sum', a.sum - element_at({gain}, {count(f'xs[i - {w + 1}]')}), 'lo', a.lo, 'hi', a.hi))
+          WHEN 2 THEN named_struct('n', {moved('xs[i - 1]', '+')}, 'sum', a.sum + element_at({gain}, {count('xs[i - 1]')} + 1), 'lo', a.lo, 'hi', a.hi)
+          ELSE IF(i >= {w} AND a.sum <= {most}, named_struct('n', a.n, 'sum', a.sum, 'lo', coalesce(a.lo, i - {w}), 'hi', i), a) END),
+      a -> IF(a.lo IS NULL, CAST(NULL AS {_SPAN}), named_struct('k', {kind}, 's', a.lo, 'e', a.hi))))[0]"""
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[EntropyClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
@@ -130,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
           filter(transform(
             filter(transform(_c{k}, x -> named_struct('v', {value}, 's', x.s)), x -> {needs} AND NOT x.v RLIKE {_lit(allow)}),
             x -> transform(array({_hot(k, c, 'x.v')}), h -> named_struct('s', x.s + h.s, 'k', h.k, 'e', x.s + h.e))[0]),
-            h -> h.s IS NOT NULL AND NOT exists(base, b -> b.s < h.e AND h.s < b.e))"""))
+            h -> h.s IS NOT NULL AND NOT exists(base, b -> b.s <= h.s AND h.e <= b.e))"""))
     return df.withColumn("added", F.array_sort(F.concat(*added))).select("doc_id", "base", "added")
 
 
@@ -206,7 +216,7 @@ def oracle() -> str:
     a AS (SELECT doc_id, {', '.join(cols)} FROM d),
     b AS (SELECT doc_id, {', '.join(spans)} FROM a),
     c AS (SELECT *, {base} AS base, flatten([{', '.join(added)}]) AS more FROM b),
-    e AS (SELECT doc_id, base, list_filter(more, h -> len(list_filter(base, b -> b.s < h.e AND h.s < b.e)) = 0) AS added FROM c)
+    e AS (SELECT doc_id, base, list_filter(more, h -> len(list_filter(base, b -> b.s <= h.s AND h.e <= b.e)) = 0) AS added FROM c)
     SELECT doc_id, {', '.join(f"CAST(len(list_filter(base, x -> x.k = {i})) AS BIGINT) AS n_{k}" for i, k in enumerate(kinds[:3]))},
            sha256({join.format('base')}) AS base_sha256,
            {join.format('list_sort(list_concat(base, added))')} AS spans
