@@ -1,4 +1,4 @@
-"""Removal of repeated substrings with logarithmic families of suffix arrays.
+"""Removal of repeated substrings with a logarithmic family of suffix arrays.
 
 Every LENGTH-byte string has an anchor: the CORE-byte gram of least hash in it.
 Equal strings have equal anchors at the same place, so only texts around equal
@@ -7,15 +7,18 @@ string around it can reach.
 
 1. Texts are collapsed to distinct ones by digest; a copied text repeats as a whole.
 2. Anchors are grouped by (core, segment): a segment that occurs again repeats as a
-   whole. Most repetition ends here, in partial aggregates.
+   whole. Much repetition ends here, in partial aggregates.
 3. Segments that occur once but share their anchor with others are compared by
-   suffix arrays: batches of segments are sorted, scanned for equal neighbours,
-   merge-scanned against the sorted levels of the batches before them, and levels
-   of equal size are merged. A level keeps one entry of equal ones.
+   suffix arrays. They come in batches, whatever anchors they have; a batch is sorted,
+   scanned for equal neighbours, merge-scanned against the sorted levels of the
+   batches before it, and levels of equal size are merged. A level keeps one entry of
+   equal ones.
 
 A segment's suffixes are compared STEP places at a time, where they agree on
-LENGTH - STEP bytes (by hash, with the core's) and only the bytes at both ends can
-differ. Anchors with more than HOT segments are dealt out by these agreeing parts.
+LENGTH - STEP bytes (a part, known by its hash and its anchor's) and only the bytes at
+both ends can differ: levels hold parts, and a part's suffixes enter the levels of
+suffixes as soon as another one agrees with it. Anchors with more than HOT segments
+are dealt out by parts.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LENGTH, CORE, STEP, HOT, BATCH = 400, 100, 30, 512, 1024
+LENGTH, CORE, STEP, HOT, BATCH = 400, 100, 30, 512, 2048
+#: Parts and suffixes that a task holds before it drops those of anchors that it is done with.
+HELD = 500_000
+SHARES = 1000
 REACH = LENGTH - CORE
 
 
@@ -61,44 +67,83 @@ def anchors(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     place = np.flatnonzero(_slide(padded, REACH + 1, np.maximum) == gram)
     text = np.searchsorted(off, place, "right") - 1
     lo, hi = np.maximum(off[text], place - REACH), np.minimum(off[text + 1], place + LENGTH)
-    seg = C.mix(C.span(sums, lo, hi) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    seg = C.mix(C.string_hashes(data, lo, hi) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     return text, place, gram[place], seg
 
 
 class Family:
-    """Sorted arrays of truncated suffixes, each at least twice as long as the next."""
+    """Sorted arrays of keys and their owners, each at least twice as long as the next; a key is kept once."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, entries: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Insert suffixes; the numbers of owners, old and new, of those that occur again."""
-        order = np.argsort(entries, kind="stable")
-        entries, owner = entries[order], owner[order]
-        found = []
-        if len(entries):
-            same = entries[1:] == entries[:-1]
-            found += [owner[1:][same], owner[:-1][same]]
+        self.merges = 0
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.levels)
+
+    def add(self, keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Insert keys; pairs of owners (new, new or old) of equal ones, which leave no key without mention that isn't alone."""
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        pairs = []
+        if len(keys):
+            same = keys[1:] == keys[:-1]
+            pairs.append((owner[1:][same], owner[:-1][same]))
             first = np.r_[True, ~same]
-            entries, owner = entries[first], owner[first]
+            keys, owner = keys[first], owner[first]
+        known = np.zeros(len(keys), bool)
         for level, own in self.levels:
-            at = np.minimum(np.searchsorted(level, entries), len(level) - 1)
-            hit = level[at] == entries
-            found += [owner[hit], own[at[hit]]]
-        if len(entries):
-            self.levels.append((entries, owner))
+            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            hit = level[at] == keys
+            pairs.append((owner[hit], own[at[hit]]))
+            known |= hit
+        keys, owner = keys[~known], owner[~known]
+        if len(keys):
+            self.levels.append((keys, owner))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
             both, own = np.concatenate([b, a]), np.concatenate([y, x])
             order = np.argsort(both, kind="stable")  # a merge: both are sorted
-            both, own = both[order], own[order]
-            first = np.r_[True, both[1:] != both[:-1]]
-            self.levels.append((both[first], own[first]))
-        return np.concatenate([*found, np.zeros(0, np.int64)])
+            self.levels.append((both[order], own[order]))
+            self.merges += 1
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([*x, none]) for x in zip(*pairs, strict=True)) if pairs else (none, none)
+
+    def forget(self, stays: np.ndarray) -> None:
+        """Keep the owners that stay; they are numbered anew."""
+        new = np.cumsum(stays) - 1
+        self.levels = [(k[stays[o]], new[o[stays[o]]]) for k, o in self.levels if stays[o].any()]
+
+
+class Columns:
+    """Columns of rows that are appended; they grow by doubling."""
+
+    def __init__(self, **kinds: object) -> None:
+        self.n, self.data = 0, {k: np.zeros((0, *shape), t) for k, (t, *shape) in kinds.items()}
+
+    def add(self, **cols: np.ndarray) -> np.ndarray:
+        """The numbers of the new rows."""
+        size = len(next(iter(cols.values())))
+        for k, v in cols.items():
+            have = self.data[k]
+            if self.n + size > len(have):
+                more = np.zeros((max(1024, 2 * len(have), self.n + size), *have.shape[1:]), have.dtype)
+                more[: self.n] = have[: self.n]
+                have = self.data[k] = more
+            have[self.n : self.n + size] = v
+        self.n += size
+        return np.arange(self.n - size, self.n)
+
+    def __getitem__(self, k: str) -> np.ndarray:
+        return self.data[k][: self.n]
+
+    def forget(self, stays: np.ndarray) -> None:
+        self.data = {k: v[: self.n][stays] for k, v in self.data.items()}
+        self.n = int(stays.sum())
 
 
 def pieces(group: np.ndarray, text: list[bytes], place: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, shift, key, ends) of the parts of segments in which STEP places agree on all but their ends.
+    """(row, shift, key, ends) of the parts of segments in which STEP places agree on all but their ends, of all batches alike.
 
     place: of the core in the text; a hot row's text is one such part already. shift: of the
     part's first byte in the text; ends: its first and last STEP bytes. The strings of a part
@@ -107,8 +152,7 @@ def pieces(group: np.ndarray, text: list[bytes], place: np.ndarray, hot: np.ndar
     data = np.frombuffer(b"".join(bytes(pad) + t + bytes(pad) for t in text), np.uint8)
     size = np.array([len(t) + 2 * pad for t in text])
     off = np.r_[0, np.cumsum(size)]
-    sums = C.prefix(data)
-    rows, shifts, keys, ends = [], [], [], []
+    rows, shifts = [], []
     plain = np.flatnonzero(~hot)
     for j in range(REACH // STEP):
         r = plain
@@ -122,70 +166,72 @@ def pieces(group: np.ndarray, text: list[bytes], place: np.ndarray, hot: np.ndar
     shifts.append(place[hot])
     row, shift = np.concatenate(rows), np.concatenate(shifts)
     at = off[row] + pad + shift
-    shared = C.span(sums, at + STEP, at + LENGTH)
+    shared = C.string_hashes(data, at + STEP, at + LENGTH)
     key = C.mix(shared + group[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(hot[row], 0, shift - place[row]).astype(np.uint64))
     ends = np.concatenate([data[at[:, None] + np.arange(STEP)], data[at[:, None] + LENGTH + np.arange(STEP)]], axis=1) if len(at) else np.zeros((0, 2 * STEP), np.uint8)
     return row, shift, key, ends
 
 
-def suffixes(key: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The STEP + 1 truncated suffixes of each part: key, place, and the bytes that aren't shared."""
-    n = len(key)
-    out = np.empty((n, STEP + 1, STEP + 9), np.uint8)
-    out[:, :, :8] = key.astype(">u8").view(np.uint8).reshape(n, 1, 8)
-    out[:, :, 8] = np.arange(STEP + 1)
-    for i in range(STEP + 1):
-        out[:, i, 9:] = ends[:, i : i + STEP]
-    # a leading byte keeps numpy from taking trailing zeros for padding
-    return out.reshape(n * (STEP + 1), STEP + 9).view(f"V{STEP + 9}").ravel()
-
-
-def _ordered(v: np.ndarray) -> np.ndarray:
-    """Fixed-length bytes that sort and compare as such; a last byte of 1 guards trailing zeros."""
-    raw = np.concatenate([v.view(np.uint8).reshape(len(v), -1), np.ones((len(v), 1), np.uint8)], axis=1)
-    return np.ascontiguousarray(raw).view(f"S{raw.shape[1]}").ravel()
+def suffixes(key: np.ndarray, place: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Truncated suffixes of parts: key, place, and the bytes that aren't shared; a last byte of 1 guards trailing zeros."""
+    out = np.ones((len(key), STEP + 10), np.uint8)
+    out[:, :8] = key.astype(">u8").view(np.uint8).reshape(len(key), 8)
+    out[:, 8] = place
+    out[:, 9:-1] = ends[np.arange(len(key))[:, None], place[:, None] + np.arange(STEP)]
+    return out.view(f"S{STEP + 10}").ravel()
 
 
 class Scan:
-    """Compares segments that arrive sorted by group; groups that end are forgotten."""
+    """Compares segments that arrive in batches, those of a group one behind the other."""
 
-    def __init__(self) -> None:
-        self.family, self.group, self.base = Family(), None, 0
-        self.places: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, limit: int = HELD) -> None:
+        self.parts, self.suffixes, self.limit = Family(), Family(), limit
+        #: lo, hi: which places of a part the text holds; done: its suffixes are in their levels
+        self.rows = Columns(group=(np.int64,), number=(np.int64,), s=(np.int64,), lo=(np.int8,), hi=(np.int8,), single=(bool,), done=(bool,), key=(np.uint64,), ends=(np.uint8, 2 * STEP))
+        self.strings = Columns(part=(np.int64,), place=(np.int8,), told=(bool,))
 
     def feed(self, group: np.ndarray, text: list[bytes], place: np.ndarray, hot: np.ndarray, start: np.ndarray, number: np.ndarray, single: np.ndarray) -> Iterator[pa.RecordBatch]:
         """start: the text's own place in its document. Yields (number, s, e): strings [s, e) that occur again."""
-        goes_on = self.group is not None and len(group) and group[0] == self.group
-        if not goes_on:
-            self.family = Family()
+        if self.rows.n + self.strings.n > self.limit:
+            self._forget(group[0])
         row, shift, key, ends = pieces(group, text, place, hot)
-        if not goes_on and group[0] != group[-1]:
-            # of groups that are all here only keys with company matter; of the last one, which may go on, all
-            _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            keep = (count[inverse] > 1) | (group[row] == group[-1])
-            row, shift, key, ends = row[keep], shift[keep], key[keep], ends[keep]
-        entries = _ordered(suffixes(key, ends))
-        size = np.array([len(t) for t in text])
-        at = (shift[:, None] + np.arange(STEP + 1)).ravel()
-        rows = np.repeat(row, STEP + 1)
-        held = (at >= 0) & (at + LENGTH <= size[rows])
-        entries, at, rows = entries[held], at[held], rows[held]
-        owner = np.arange(len(entries)) + self.base
-        if not goes_on:
-            self.places, owner, self.base = [], np.arange(len(entries)), 0
-        self.places.append((number[rows], start[rows] + at, single[rows]))
-        self.base += len(entries)
-        again = np.unique(self.family.add(entries, owner))
-        if len(again):
-            a, s, open_ = (np.concatenate(x)[again] for x in zip(*self.places, strict=True))
-            a, s = a[open_], s[open_]
+        size = np.array([len(t) for t in text])[row]
+        lo, hi = np.maximum(0, -shift), np.minimum(STEP, size - LENGTH - shift)
+        some = lo <= hi
+        row, shift, key, ends, lo, hi = (x[some] for x in (row, shift, key, ends, lo, hi))
+        mine = self.rows.add(group=group[row], number=number[row], s=start[row] + shift, lo=lo, hi=hi, single=single[row], done=np.zeros(len(row), bool), key=key, ends=ends)
+        again = np.unique(np.concatenate(self.parts.add(key, mine)))
+        again = again[~self.rows["done"][again]]
+        self.rows["done"][again] = True
+        # every place of the parts that agree with others
+        lo, hi = self.rows["lo"][again].astype(int), self.rows["hi"][again].astype(int)
+        part = np.repeat(np.arange(len(again)), hi - lo + 1)
+        at = lo[part] + np.arange(len(part)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+        own = self.strings.add(part=again[part], place=at, told=np.zeros(len(part), bool))
+        found = np.unique(np.concatenate(self.suffixes.add(suffixes(self.rows["key"][again][part], at, self.rows["ends"][again][part]), own)))
+        found = found[~self.strings["told"][found]]
+        self.strings["told"][found] = True
+        p = self.strings["part"][found]
+        keep = self.rows["single"][p]
+        a, s = self.rows["number"][p[keep]], self.rows["s"][p[keep]] + self.strings["place"][found[keep]]
+        if len(a):
             order = np.lexsort((s, a))
             a, s = a[order], s[order]
-            if len(a):
-                new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] > s[:-1] + LENGTH)]
-                last = np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]
-                yield C.batch({"number": a[new], "s": s[new], "e": s[last] + LENGTH})
-        self.group = group[-1] if len(group) else self.group
+            new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] > s[:-1] + LENGTH)]
+            last = np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]
+            yield C.batch({"number": a[new], "s": s[new], "e": s[last] + LENGTH})
+
+    def _forget(self, group: int) -> None:
+        """Drop what belongs to groups that have ended; one that goes on is kept, however large."""
+        stays = self.rows["group"] == group
+        strings = stays[self.strings["part"]]
+        new = np.cumsum(stays) - 1
+        self.parts.forget(stays)
+        self.suffixes.forget(strings)
+        self.rows.forget(stays)
+        self.strings.forget(strings)
+        self.strings["part"][:] = new[self.strings["part"]]
+        self.limit = max(HELD, 2 * (self.rows.n + self.strings.n))
 
 
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +281,11 @@ def repeats(texts: DataFrame) -> DataFrame:
     whole = prints.join(classes.where("n > 1").select("core", "seg"), ["core", "seg"], "left_semi").select(
         "number", F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("s"), F.least(F.col("at") + LENGTH, F.col("size")).cast("long").alias("e")
     )
-    unlike = classes.join(groups.where("segs > 1 AND least = 1").select("core", "segs"), "core").select("core", "n", "segs", "one.*")
+    # at most SHARES cores have so many segments that the join would send them to one task; these few are broadcast
+    many = max(HOT, int(classes.count() / SHARES))
+    groups = C.cut(groups.where("segs > 1 AND least = 1").select("core", "segs"))
+    crowded = F.broadcast(groups.where(F.col("segs") > many))
+    unlike = classes.join(crowded, "core").unionByName(classes.join(crowded.select("core"), "core", "left_anti").join(groups.where(F.col("segs") <= many), "core")).select("core", "n", "segs", "one.*")
     wanted = unlike.groupBy("number").agg(F.collect_list(F.struct("core", "at", (F.col("segs") > HOT).alias("hot"), (F.col("n") == 1).alias("single"))).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,32 +314,21 @@ def repeats(texts: DataFrame) -> DataFrame:
     segments = own.join(wanted, "number").mapInArrow(cut, "group long, text binary, place int, hot boolean, start int, number long, single boolean")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, kept = Scan(), None
+        scan = Scan()
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
-                p = pa.Table.from_batches([b.slice(lo, BATCH)])
-                p = p if kept is None else pa.concat_tables([kept, p]).combine_chunks()
-                group = p.column("group").to_numpy()
-                # whole groups only, unless one fills the batch
-                end = int(np.searchsorted(group, group[-1]))
-                end = end if 0 < end else len(group) if len(group) >= BATCH else 0
-                kept = p.slice(end)
-                yield from _fed(scan, p.slice(0, end))
-        if kept is not None:
-            yield from _fed(scan, kept)
+                p = b.slice(lo, BATCH)
+                col = {n: p.column(p.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("group", "place", "hot", "start", "number", "single")}
+                text = p.column(p.schema.get_field_index("text")).to_pylist()
+                yield from scan.feed(col["group"], text, col["place"].astype(np.int64), col["hot"].astype(bool), col["start"].astype(np.int64), col["number"], col["single"].astype(bool))
+        C.trim()
 
     found = segments.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "number long, s long, e long")
     return whole.unionByName(found).groupBy("number").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def _fed(scan: Scan, p: pa.Table) -> Iterator[pa.RecordBatch]:
-    if p.num_rows:
-        col = {n: p.column(n).to_numpy() for n in ("group", "place", "hot", "start", "number", "single")}
-        yield from scan.feed(col["group"], p.column("text").to_pylist(), col["place"].astype(np.int64), col["hot"].astype(bool), col["start"].astype(np.int64), col["number"], col["single"].astype(bool))
-
-
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with full also kept, the bytes that remain.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether bytes go) of every row; with full also kept, the bytes that remain.
 
     Null and empty texts have no bytes; texts under LENGTH bytes have no match;
     rows with null or repeated ids are treated by their texts. Every occurrence of
@@ -325,7 +364,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full
                 yield C.batch(cols)
 
     done = texts.join(spans, "number", "left").select("k1", "k2", "copies", "size", "body", "spans").mapInArrow(run, schema)
-    return rows.join(done, ["k1", "k2"]).drop("k1", "k2")
+    return rows.join(done, ["k1", "k2"]).drop("k1", "k2").withColumn("repeats", F.col("n_removed") > 0)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
