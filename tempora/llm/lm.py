@@ -1,8 +1,7 @@
 """LM scoring by a probabilistic suffix tree over the bytes of words, beside an add-one word model.
 
 A text is its words, each followed by a separator, then one end; words are
-spelled in the bytes that are most frequent in the training words, others by an
-escape. Contexts of up to DEPTH symbols (padded with ends at a text's beginning)
+spelled in their bytes. Contexts of up to DEPTH symbols (padded with ends at a text's beginning)
 are counted over all training texts. A context that was seen SUPPORT times at least
 is retained if its next-symbol distribution diverges from its suffix's by more than
 the description length of another distribution; so the tree grows with the corpus.
@@ -11,11 +10,13 @@ each length. A symbol is scored behind its longest retained suffix.
 
 The scores of the HEAD_CODES most frequent codes (a symbol behind its context) are
 broadcast; those of the others are joined by code. In the same way the HEAD most
-frequent words of ordinary length are broadcast and the others joined by word.
+frequent words are broadcast and the others joined by word, so no frequent word is a
+key of a join; words over WHOLE_BYTES are known by a digest there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,12 +32,14 @@ from . import common as C
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH, SUPPORT, PRIOR = 5, 4, 8.0
-HEAD, HEAD_BYTES, FLUSH = 1 << 17, 64, 300_000
+HEAD, WHOLE_BYTES, FLUSH = 1 << 17, 64, 300_000
 #: Tables of contexts up to the length SHORT are small and met by many codes.
 HEAD_CODES, SHORT = 1 << 19, 2
-#: Symbols: the LETTERS most frequent bytes, then separator, end, escape, and nothing.
-LETTERS, SEP, END, ESC, NONE, BITS = 60, 60, 61, 62, 63, 6
+#: Symbols are bytes; white space doesn't occur in words, so two of its bytes are free for separator and end.
+SEP, END, BITS = 0x20, 0x0A, 8
 SIZE, CHUNK = 1 << BITS, 256
+_SYMBOLS = C.LOWER.copy()
+_SYMBOLS[C.SPACE] = SEP
 
 
 def training(id_col: str) -> Column:
@@ -48,8 +51,12 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def _key(w: bytes) -> bytes:
+    return w if len(w) <= WHOLE_BYTES else hashlib.md5(w, usedforsecurity=False).digest()
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (binary), c over a table with one column of texts, summed within tasks first."""
+    """word (binary; its key), c over a table with one column of texts, summed within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -61,7 +68,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b.column(0):
-                held.update(_words(text.as_py()))
+                held.update(map(_key, _words(text.as_py())))
                 if len(held) > FLUSH:
                     yield out()
         yield out()
@@ -69,39 +76,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def byte_counts(counts: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for b in batches:
-            off, data = C.binary(b.column(0))
-            c = np.repeat(b.column(1).to_numpy(), np.diff(off))
-            total += np.bincount(data[off[0] : off[-1]], c, minlength=256).astype(np.int64)
-        yield C.batch({"byte": np.arange(256, dtype=np.int32), "n": total})
-
-    out = np.zeros(256, np.int64)
-    for byte, n in counts.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n")).toLocalIterator():
-        out[byte] = n
-    return out
-
-
-def symbol_map(n: np.ndarray) -> np.ndarray:
-    """The symbol of each byte; white space is the separator."""
-    out = np.full(256, ESC, np.uint8)
-    order = [b for b in np.lexsort((np.arange(256), -n)) if not C.SPACE[b]][:LETTERS]
-    out[order] = np.arange(len(order))
-    out[C.SPACE] = SEP
-    return out
-
-
-def escape(symbols: np.ndarray) -> float:
-    """log10 probability of an escaped byte, given that it is one."""
-    return -math.log10(max(1, int((symbols == ESC).sum())))
-
-
-def stream(off: np.ndarray, data: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stream(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts, each behind DEPTH ends; offsets of the texts)."""
     space = C.SPACE[data]
-    low = symbols[C.LOWER[data]]
+    low = _SYMBOLS[data]
     before = np.empty(len(data), bool)
     before[1:] = space[:-1]
     begins = off[:-1][off[:-1] < len(data)]
@@ -137,9 +115,8 @@ def codes(syms: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out[inside]
 
 
-def code_counts(texts: DataFrame, symbols: np.ndarray) -> DataFrame:
+def code_counts(texts: DataFrame) -> DataFrame:
     """code, n of all codes of the texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
         code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -152,7 +129,7 @@ def code_counts(texts: DataFrame, symbols: np.ndarray) -> DataFrame:
         parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for b in batches:
             for _, _, off, data in C.runs(b.column(0), 4 << 20):
-                parts.append(np.unique(codes(*stream(off, data, shared.value)), return_counts=True))
+                parts.append(np.unique(codes(*stream(off, data)), return_counts=True))
                 held += len(parts[-1][0])
                 if held > 4_000_000:
                     parts = [merge(parts)]
@@ -177,7 +154,7 @@ def learn(deepest: DataFrame) -> Model:
     codes = [deepest]
     for k in range(DEPTH - 1, -1, -1):
         codes.insert(0, C.store(codes[0].groupBy(F.expr(f"code & {(1 << BITS * (k + 1)) - 1}L").alias("code")).agg(F.sum("n").alias("n"))))
-    base = np.ones(NONE)
+    base = np.ones(SIZE)
     for code, n in codes[0].toLocalIterator():
         base[code] += n
     root = (base / base.sum()).tolist()
@@ -223,10 +200,9 @@ class Tree:
     delta: np.ndarray  # state * SIZE + symbol -> state
     logp: np.ndarray  # state * SIZE + symbol -> log10 probability
     retained: int
-    escape: float  # log10 probability of an escaped byte, given that it is one
 
 
-def grow(found: pa.Table, symbols: np.ndarray) -> Tree:
+def grow(found: pa.Table) -> Tree:
     """The tree of counts in memory, and its automaton: what learn() and code_logp() are held against."""
     found = found.combine_chunks()
     table, counts = np.zeros((found.num_rows, SIZE), np.float32), {}
@@ -241,20 +217,20 @@ def grow(found: pa.Table, symbols: np.ndarray) -> Tree:
         return s[0] - 1, s[1] & (1 << BITS * (s[0] - 1)) - 1
 
     root = (0, 0)
-    base = counts.get(root, np.zeros(SIZE))[:NONE].astype(float) + 1.0
+    base = counts.get(root, np.zeros(SIZE)).astype(float) + 1.0
     dist = {root: base / base.sum()}
     for s in sorted(counts):
         if s != root:
             up = suffix(s)
             while up not in dist:
                 up = suffix(up)
-            n = counts[s][:NONE]
+            n = counts[s]
             dist[s] = (n + PRIOR * dist[up]) / (n.sum() + PRIOR)
     keep = {root}
     for s in sorted(counts, reverse=True):
         if s == root or s in keep:
             continue
-        n = counts[s][:NONE]
+        n = counts[s]
         p, q, seen = n / n.sum(), dist[suffix(s)] if suffix(s) in dist else dist[root], n > 0
         if n.sum() * (p[seen] * np.log(p[seen] / q[seen])).sum() > 0.5 * seen.sum() * math.log(n.sum() + 1):
             while s not in keep:
@@ -271,19 +247,19 @@ def grow(found: pa.Table, symbols: np.ndarray) -> Tree:
         own = (length, code)
         while own not in keep:
             own = suffix(own)
-        logp[i, :NONE] = np.log10(dist[own])
-        for a in range(NONE):
+        logp[i] = np.log10(dist[own])
+        for a in range(SIZE):
             k, c = min(length + 1, DEPTH), code << BITS | a
             while (k, c & (1 << BITS * k) - 1) not in number:
                 k -= 1
             delta[i, a] = number[k, c & (1 << BITS * k) - 1]
-    return Tree(order, delta.ravel(), logp.ravel(), len(keep), escape(symbols))
+    return Tree(order, delta.ravel(), logp.ravel(), len(keep))
 
 
-def score(tree: Tree, symbols: np.ndarray, off: np.ndarray, data: np.ndarray) -> np.ndarray:
+def score(tree: Tree, off: np.ndarray, data: np.ndarray) -> np.ndarray:
     """log10 probability of each text of a run. Texts are cut into chunks that are walked
     side by side; each begins DEPTH symbols early, which settles its state."""
-    syms, offs = stream(off, data, symbols)
+    syms, offs = stream(off, data)
     n = len(off) - 1
     sizes = np.diff(offs) - DEPTH
     many = -(-sizes // CHUNK)
@@ -303,14 +279,12 @@ def score(tree: Tree, symbols: np.ndarray, off: np.ndarray, data: np.ndarray) ->
         if t >= DEPTH:
             total[:lanes] += tree.logp[at]
         state[:lanes] = tree.delta[at]
-    out = np.bincount(doc, total, minlength=n)
-    escaped = np.flatnonzero(symbols[C.LOWER[data]] == ESC)
-    return out + tree.escape * np.bincount(np.searchsorted(off, escaped, "right") - 1, minlength=n)
+    return np.bincount(doc, total, minlength=n)
 
 
-def score_codes(frequent: tuple[np.ndarray, np.ndarray], symbols: np.ndarray, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """(log10 probability of the frequent codes of each text of a run and of its escapes, list of its other codes)."""
-    syms, offs = stream(off, data, symbols)
+def score_codes(frequent: tuple[np.ndarray, np.ndarray], off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(log10 probability of the frequent codes of each text of a run, list of its other codes)."""
+    syms, offs = stream(off, data)
     n = len(off) - 1
     doc = np.repeat(np.arange(n), np.diff(offs) - DEPTH)
     code = codes(syms, offs)
@@ -321,8 +295,7 @@ def score_codes(frequent: tuple[np.ndarray, np.ndarray], symbols: np.ndarray, of
     out = np.bincount(doc, np.where(hit, np.r_[logp, 0.0][at], 0.0)[where], minlength=n)
     far = ~hit[where]
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[far], np.arange(n + 1)), pa.int32()), pa.array(code[far]))
-    escaped = np.flatnonzero(symbols[C.LOWER[data]] == ESC)
-    return out + escape(symbols) * np.bincount(np.searchsorted(off, escaped, "right") - 1, minlength=n), lists
+    return out, lists
 
 
 def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,25 +312,24 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_train = train.count()
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, v_all = words + n_train, distinct + bool(n_train)
-    symbols = symbol_map(byte_counts(counts))
-    deepest = C.store(code_counts(train, symbols))
+    deepest = C.store(code_counts(train))
     model = learn(deepest)
     first = code_logp(deepest.orderBy(F.desc("n"), "code").limit(HEAD_CODES), model).toArrow()
     first = first.take(pc.sort_indices(first, sort_keys=[("code", "ascending")]))
     frequent = tuple(first.column(n).to_numpy() for n in ("code", "logp"))
-    top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD)
+    top = counts.orderBy(F.desc("c"), "word").limit(HEAD)
     head = {bytes(w): (math.log10(c + 1)) for w, c in zip(*(x.to_pylist() for x in top.toArrow().columns), strict=True)}
-    shared = spark.sparkContext.broadcast((frequent, symbols, head))
+    shared = spark.sparkContext.broadcast((frequent, head))
     listed = len(head) == distinct  # then no other word is known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, symbols, head = shared.value
+        frequent, head = shared.value
         for b in batches:
             for lo, hi, off, data in C.runs(b.column(2), 2 << 20):
                 part = b.slice(lo, hi - lo)
                 sums, known, n, rest = [], [], [], []
                 for text in part.column(2):
-                    ws = _words(text.as_py())
+                    ws = [*map(_key, _words(text.as_py()))]
                     got = [*map(head.get, ws)]
                     other = []
                     if None in got:
@@ -367,7 +339,7 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     known.append(len(got))
                     n.append(len(ws) + 1)
                     rest.append(other)
-                total, far = score_codes(frequent, symbols, off, data)
+                total, far = score_codes(frequent, off, data)
                 yield C.batch({
                     "row": part.column(0), "doc_id": part.column(1), "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()),
                     "sum": pa.array(sums, pa.float64()), "score": total, "rest": pa.array(rest, pa.list_(pa.binary())), "far": far,

@@ -125,26 +125,24 @@ def test_lm_is_a_distribution(texts):
     from tempora.llm import common as C
 
     sample = pa.array(list(texts.values())[:30])
-    symbols = lm.symbol_map(np.bincount(np.concatenate([d for *_, d in C.runs(sample)]), minlength=256))
-    code, n = np.unique(np.concatenate([lm.codes(*lm.stream(o, d, symbols)) for *_, o, d in C.runs(sample)]), return_counts=True)
+    code, n = np.unique(np.concatenate([lm.codes(*lm.stream(o, d)) for *_, o, d in C.runs(sample)]), return_counts=True)
     rows = collections.defaultdict(collections.Counter)
     for k in range(lm.DEPTH + 1):
         for x, m in zip(code.tolist(), n.tolist(), strict=True):
             y = x & (1 << lm.BITS * (k + 1)) - 1
             rows[k, y >> lm.BITS][y & lm.SIZE - 1] += m
     found = pa.table({"len": [k for k, _ in rows], "context": [c for _, c in rows], "nexts": pa.array([[{"next": a, "n": m} for a, m in r.items()] for r in rows.values()], pa.list_(pa.struct([("next", pa.int32()), ("n", pa.int64())])))})
-    tree = lm.grow(found, symbols)
-    p = (10.0 ** tree.logp.reshape(-1, lm.SIZE).astype(float))[:, : lm.NONE].sum(1)
+    tree = lm.grow(found)
+    p = (10.0 ** tree.logp.reshape(-1, lm.SIZE).astype(float)).sum(1)
     assert abs(p - 1).max() < 1e-4
     for t in list(texts.values())[:8]:
         raw = np.frombuffer(t.encode(), np.uint8)
-        syms, _ = lm.stream(np.array([0, len(raw)]), raw, symbols)
+        syms, _ = lm.stream(np.array([0, len(raw)]), raw)
         state, total = 0, 0.0
         for i, s in enumerate(syms.tolist()):
             total += float(tree.logp[state * lm.SIZE + s]) if i >= lm.DEPTH else 0
             state = tree.delta[state * lm.SIZE + s]
-        total += tree.escape * int((symbols[C.LOWER[raw]] == lm.ESC).sum())
-        assert abs(total - lm.score(tree, symbols, np.array([0, len(raw)]), raw)[0]) < 1e-6 + 1e-9 * abs(total)
+        assert abs(total - lm.score(tree, np.array([0, len(raw)]), raw)[0]) < 1e-6 + 1e-9 * abs(total)
 
 
 @pytest.mark.parametrize("head", [lm.HEAD_CODES, 50])
@@ -158,19 +156,18 @@ def test_lm_tables_and_support(spark, monkeypatch, head):
     texts = {i: "the cat sat on a mat " * 3000 for i in range(60)} | {100 + i: "xyzzq" for i in range(9)}
     sample = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     one = lambda t: (np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8))
-    symbols = lm.symbol_map(np.bincount(C.LOWER[one("".join(sample))[1]], minlength=256))
     rows = collections.defaultdict(collections.Counter)
     for t in sample:
-        for x, m in zip(*map(np.ndarray.tolist, np.unique(lm.codes(*lm.stream(*one(t), symbols)), return_counts=True)), strict=True):
+        for x, m in zip(*map(np.ndarray.tolist, np.unique(lm.codes(*lm.stream(*one(t))), return_counts=True)), strict=True):
             for k in range(lm.DEPTH + 1):
                 y = x & (1 << lm.BITS * (k + 1)) - 1
                 rows[k, y >> lm.BITS][y & lm.SIZE - 1] += m
     rows = {s: r for s, r in rows.items() if sum(r.values()) >= lm.SUPPORT or not s[0]}
     kind = pa.list_(pa.struct([("next", pa.int32()), ("n", pa.int64())]))
-    tree = lm.grow(pa.table({"len": [k for k, _ in rows], "context": [c for _, c in rows], "nexts": pa.array([[{"next": a, "n": m} for a, m in r.items()] for r in rows.values()], kind)}), symbols)
+    tree = lm.grow(pa.table({"len": [k for k, _ in rows], "context": [c for _, c in rows], "nexts": pa.array([[{"next": a, "n": m} for a, m in r.items()] for r in rows.values()], kind)}))
     got = {r.doc_id: r.score for r in lm.evaluate(spark.createDataFrame([*texts.items(), (200, "quite other xyz words")], "doc_id long, text string")).collect()}
     for i, t in [*texts.items(), (200, "quite other xyz words")]:
-        want = lm.score(tree, symbols, *one(t))[0]
+        want = lm.score(tree, *one(t))[0]
         assert abs(got[i] - want) < 1e-4 + 1e-6 * abs(want)
     assert got[100] > -7  # symbols behind contexts of nine in four million positions
 
