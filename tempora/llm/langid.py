@@ -1,9 +1,10 @@
 """Language identification by a blended-spectrum string kernel.
 
 A text is the set of its byte 1- to 3-grams (ASCII letters in lower case); the
-kernel of two texts is the cosine of their presence vectors. Landmarks from the
-sample give Nyström features, on which one ridge regression per language is
-fitted against the rest. All texts are scored by two matrix products a batch.
+kernel of two texts is the cosine of their presence vectors, over all grams.
+Landmarks from the sample give Nyström features, on which one ridge regression per
+language is fitted against the rest. All texts are scored by two matrix products a
+batch: grams that no landmark has only count in a text's norm.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Documents that the model is fitted on at most: those of smallest hash of doc_id.
-SAMPLE = 2000
-LANDMARKS, GRAMS, RIDGE, SHARPNESS = 160, 4096, 1e-2, 6.0
-FOLDS, HELD_OUT, ROWS = 3, 1, 512
+#: Documents that the model is fitted on at most, in equal parts of each language (LEAST at least): those of smallest hash of doc_id.
+SAMPLE, LEAST = 2000, 8
+LANDMARKS, RIDGE, SHARPNESS = 160, 1e-2, 6.0
+FOLDS, HELD_OUT, ROWS = 3, 1, 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -31,7 +32,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 @dataclass
 class Model:
     langs: list[str]
-    grams: np.ndarray  # codes
+    grams: np.ndarray  # codes of all grams of the landmarks
     landmarks: np.ndarray  # presence, float32
     weights: np.ndarray
 
@@ -48,54 +49,79 @@ def codes(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def lookup(grams: np.ndarray) -> np.ndarray:
-    table = np.full(1 << 24, len(grams), np.int16)
+    table = np.full(1 << 24, len(grams), np.uint16 if len(grams) < 1 << 16 else np.uint32)
     table[grams] = np.arange(len(grams))
     return table
 
 
-def presence(off: np.ndarray, data: np.ndarray, table: np.ndarray, n_grams: int) -> np.ndarray:
-    out = np.zeros((len(off) - 1, n_grams + 1), bool)
+def presence(off: np.ndarray, data: np.ndarray, table: np.ndarray, n_grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """(presence of the known grams in each text, number of each text's distinct grams, the others included)."""
+    n = len(off) - 1
+    out = np.zeros((n, n_grams + 1), bool)
+    other = []
     for code, doc in codes(off, data):
-        out[doc, table[code]] = True
-    return out[:, :n_grams].astype(np.float32)
+        at = table[code]
+        out[doc, at] = True
+        new = at == n_grams
+        other.append(np.unique(doc[new].astype(np.int64) << 24 | code[new]) >> 24)
+    known = out[:, :n_grams].astype(np.float32)
+    return known, known.sum(1) + np.bincount(np.concatenate(other), minlength=n)
 
 
-def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    sizes = np.sqrt(np.outer(x.sum(1), landmarks.sum(1)))
-    return (x @ landmarks.T) / np.maximum(sizes, 1)
+def kernel(x: np.ndarray, size: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Cosines; a landmark has no grams but the known ones."""
+    return (x @ landmarks.T) / np.maximum(np.sqrt(np.outer(size, landmarks.sum(1))), 1)
 
 
 def fit(texts: pa.Array, langs: list[str]) -> Model:
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
-    df = np.zeros(1 << 24, np.int32)
-    for _, _, off, data in C.runs(texts):
-        for code, doc in codes(off, data):
-            df += np.bincount(np.unique(doc.astype(np.int64) << 24 | code) & (1 << 24) - 1, minlength=1 << 24).astype(np.int32)
-    used = np.flatnonzero(df)
-    grams = np.sort(used[np.lexsort((used, -df[used]))[:GRAMS]])
-    table = lookup(grams)
-    x = np.vstack([presence(off, data, table, len(grams)) for _, _, off, data in C.runs(texts, rows=ROWS)])
     y = np.array([names.index(v) for v in langs])
     turn = np.zeros(len(y), int)  # landmarks by turns of the languages, however rare one is
     for k in range(len(names)):
         turn[y == k] = np.arange((y == k).sum())
-    marks = x[np.lexsort((y, turn))[:LANDMARKS]]
-    values, vectors = np.linalg.eigh(kernel(marks, marks) + 1e-6 * np.eye(len(marks)))
+    chosen = texts.take(pa.array(np.sort(np.lexsort((y, turn))[: max(LANDMARKS, len(names))])))
+    grams = np.unique(np.concatenate([np.unique(code) for _, _, off, data in C.runs(chosen) for code, _ in codes(off, data)]))
+    table = lookup(grams)
+    marks = np.vstack([presence(off, data, table, len(grams))[0] for _, _, off, data in C.runs(chosen, rows=ROWS)])
+    values, vectors = np.linalg.eigh(kernel(marks, marks.sum(1), marks) + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-8))
-    phi = kernel(x, marks) @ root
+    phi = np.vstack([kernel(*presence(off, data, table, len(grams)), marks) for _, _, off, data in C.runs(texts, rows=ROWS)]) @ root
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     ridge = np.linalg.solve(phi.T @ phi + RIDGE * len(y) / 100 * np.eye(phi.shape[1]), phi.T @ target)
     return Model(names, grams, marks, root @ ridge)
 
 
+def _smallest(share: int):
+    """Of each language the rows (id, lang, hash) of smallest hash that a task has, share at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            order = pc.sort_indices(t, sort_keys=[("lang", "ascending"), ("hash", "ascending"), ("id", "ascending")])
+            t = t.take(order).combine_chunks()
+            lang = t.column("lang").dictionary_encode().combine_chunks().indices.to_numpy() if t.num_rows else np.zeros(0, int)
+            first = np.flatnonzero(np.r_[True, lang[1:] != lang[:-1]]) if len(lang) else np.zeros(0, int)
+            rank = np.arange(len(lang)) - np.repeat(first, np.diff(np.r_[first, len(lang)]))
+            held = t.filter(pa.array(rank < share))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    ids = (
-        docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-        .where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & F.col(text_col).isNotNull() & (C.remainder("_id", FOLDS) != HELD_OUT))
-        .groupBy("_id").agg(F.min("_lang").alias("_lang")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    )
+    labelled = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].alias("lang"), docs[text_col].isNotNull().alias("told")).where(
+        F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("told") & (C.remainder("id", FOLDS) != HELD_OUT)
+    )
+    n = labelled.select("lang").distinct().count()
+    share = max(LEAST, sample // max(1, n))
+    few = labelled.select("id", "lang", F.xxhash64("id").alias("hash")).mapInArrow(_smallest(share), "id long, lang string, hash long")
+    ranked = few.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    ids = ranked.where(F.col("rank") <= share).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).orderBy(F.col("rank"), "_lang").limit(max(sample, LEAST * n))
     got = C.sample_texts(docs, ids, id_col, text_col, [])
     got = got.take(pc.sort_indices(got, sort_keys=[("_id", "ascending")]))
     return fit(got.column("_text").combine_chunks(), got.column("_lang").to_pylist())
@@ -110,7 +136,7 @@ def predict(model: Model, table: np.ndarray, off: np.ndarray, data: np.ndarray)
         letters[i] = any(map(str.isalpha, bytes(data[off[i] : off[i + 1]]).decode(errors="replace")))
     if not model.langs:
         return ["und"] * n, np.zeros(n)
-    z = SHARPNESS * (kernel(presence(off, data, table, len(model.grams)), model.landmarks) @ model.weights)
+    z = SHARPNESS * (kernel(*presence(off, data, table, len(model.grams)), model.landmarks) @ model.weights)
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
