@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries of a worker's memory of pre-tokens; the older generation is forgotten as a whole.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_chars() -> str:

@@ -207,18 +207,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, all columns, in which no benchmark item is found."""
-    at = docs.columns.index(text_col)
     for ix in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(ix)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi, off, data in C.runs(b.column(at)):
-                    keep = np.ones(hi - lo, bool)
-                    keep[[i for i, *_ in hits(shared.value, off, data)]] = False
-                    yield b.slice(lo, hi - lo).filter(pa.array(keep))
+        def free(off: np.ndarray, data: np.ndarray, shared=shared) -> np.ndarray:
+            keep = np.ones(len(off) - 1, bool)
+            keep[[i for i, *_ in hits(shared.value, off, data)]] = False
+            return keep
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.where(C.flags(free)(docs[text_col]))
     return docs
 
 

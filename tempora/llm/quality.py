@@ -212,16 +212,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that the model doesn't reject."""
+    """The rows, all columns, that the model doesn't reject. Null and empty texts are judged as texts of no words,
+    repeated rows and null ids each for themselves."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, off, data in C.runs(b.column(at), rows=4096):
-                yield b.slice(lo, hi - lo).filter(pa.array(predict(shared.value, off, data) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    good = C.flags(lambda off, data: predict(shared.value, off, data) >= threshold)
+    return docs.where(good(docs[text_col]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
