@@ -9,7 +9,8 @@ as wide as the edits can shift, so only bands with that many are verified, by
 edit distance aligned within the band.
 
 Comparison is on UTF-8 bytes, ASCII letters in lower case and white space as one
-kind of character. Pieces under q + 1 bytes are too short to identify.
+kind of character. An item of q bytes or less is too short to identify within a text:
+it is found where it is the whole text, blanks around it aside.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 Q, ERRORS, WHOLE, PIECE, STEP = 8, 0.1, 256, 192, 96
-#: Bytes of benchmark text indexed and broadcast at once; a larger benchmark takes several passes.
+#: Bytes of benchmark text indexed and broadcast at once (about 40 times as much memory, if all is in pieces); a larger
+#: benchmark takes a pass over the documents for each, one index at a time.
 BLOCK = 8 << 20
+#: A text that is one short item and blanks around it has so many bytes at most.
+SHORT_TEXT = 1 << 12
 
 _FOLD = C.LOWER.copy()
 _FOLD[np.flatnonzero(C.SPACE)] = 0x20
@@ -43,6 +47,7 @@ class Index:
     piece: np.ndarray  # postings
     place: np.ndarray
     filter: np.ndarray
+    short: dict[bytes, list[int]]  # items of Q bytes or less
 
 
 def grams(d: np.ndarray) -> np.ndarray:
@@ -60,9 +65,11 @@ def slot(g: np.ndarray) -> np.ndarray:
 
 
 def build(items: list[tuple[int, bytes]]) -> Index:
-    pieces, owner = [], []
+    pieces, owner, short = [], [], {}
     for i, text in items:
         t = _FOLD[np.frombuffer(text, np.uint8)].tobytes()
+        if 0 < len(t.strip()) <= Q:
+            short.setdefault(t.strip(), []).append(i)
         at = [0] if len(t) <= WHOLE else [*range(0, len(t) - PIECE, STEP), len(t) - PIECE]
         for a in at:
             p = t if len(t) <= WHOLE else t[a : a + PIECE]
@@ -73,22 +80,22 @@ def build(items: list[tuple[int, bytes]]) -> Index:
     edits = np.minimum((ERRORS * m).astype(np.int64), np.maximum(0, (m - Q) // Q))
     all_g = [grams(np.frombuffer(p, np.uint8)) for p in pieces]
     g = np.concatenate([*all_g, np.zeros(0, np.uint64)])
-    piece = np.repeat(np.arange(len(pieces)), [len(x) for x in all_g])
-    place = np.concatenate([*[np.arange(len(x)) for x in all_g], np.zeros(0, np.int64)])
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(x) for x in all_g])
+    place = np.concatenate([*[np.arange(len(x), dtype=np.int16) for x in all_g], np.zeros(0, np.int16)])
     order = np.argsort(g, kind="stable")
     unique, first = np.unique(g[order], return_index=True)
     bits = np.zeros(1 << 20, bool)
     bits[slot(unique)] = True
-    return Index(np.array(owner, np.int64), pieces, edits, m - Q + 1 - Q * edits, unique, np.r_[first, len(g)], piece[order], place[order], bits)
+    return Index(np.array(owner, np.int64), pieces, edits, m - Q + 1 - Q * edits, unique, np.r_[first, len(g)].astype(np.int32), piece[order], place[order], bits, short)
 
 
 def aligned(piece: bytes, region: bytes, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the place in region nearest to piece, of the least edits and then the
-    first end; None over most. Columns are the diagonals that most edits around the region's can reach."""
+    first end; None over most. Columns are the diagonals that most edits can reach between a start and an end in the region."""
     if (at := region.find(piece)) >= 0:
         return 0, at, at + len(piece)
     t, n = np.frombuffer(region, np.uint8).astype(np.int16), len(region)
-    width = n - len(piece) + most + 1  # diagonals -most .. n - m
+    width = n - len(piece) + 2 * most + 1  # diagonals -most .. n - m + most
     if width <= 0:
         return None
     lo = -most
@@ -120,27 +127,30 @@ def aligned(piece: bytes, region: bytes, most: int) -> tuple[int, int, int] | No
 def hits(ix: Index, off: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(document number, item, start, end, edits) of each item found in a run, once an item and document: the fewest edits, then the first."""
     d = _FOLD[data]
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for i in np.flatnonzero(np.diff(off) <= SHORT_TEXT) if ix.short else []:
+        raw = d[off[i] : off[i + 1]].tobytes()
+        for item in ix.short.get(raw.strip(), []):
+            s = len(raw) - len(raw.lstrip())
+            found[int(i), item] = (0, s, s + len(raw.strip()))
     g = grams(d)
     at = np.flatnonzero(ix.filter[slot(g)]) if len(ix.grams) else np.zeros(0, np.int64)
-    if not len(at):
-        return []
     doc = np.searchsorted(off, at, "right") - 1
     ok = at + Q <= off[doc + 1]
     at, doc = at[ok], doc[ok]
-    k = np.minimum(np.searchsorted(ix.grams, g[at]), len(ix.grams) - 1)
-    ok = ix.grams[k] == g[at]
+    k = np.minimum(np.searchsorted(ix.grams, g[at]), max(0, len(ix.grams) - 1))
+    ok = ix.grams[k] == g[at] if len(at) else np.zeros(0, bool)
     at, doc, k = at[ok], doc[ok], k[ok]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
     for part in np.array_split(np.arange(len(at)), 1 + int((ix.first[k + 1] - ix.first[k]).sum()) // 2_000_000) if len(at) else []:
         _regions(ix, off, d, at[part], doc[part], k[part], found)
     return [(doc_, item, s, e, n) for (doc_, item), (n, s, e) in sorted(found.items())]
 
 
 def _regions(ix: Index, off: np.ndarray, d: np.ndarray, at: np.ndarray, doc: np.ndarray, k: np.ndarray, found: dict) -> None:
-    many = ix.first[k + 1] - ix.first[k]
+    many = (ix.first[k + 1] - ix.first[k]).astype(np.int64)
     post = np.repeat(ix.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at, doc, piece = np.repeat(at, many), np.repeat(doc, many), ix.piece[post]
-    diagonal = at - off[doc] - ix.place[post]
+    at, doc, piece = np.repeat(at, many), np.repeat(doc, many), ix.piece[post].astype(np.int64)
+    diagonal = at - off[doc] - ix.place[post].astype(np.int64)
     width = 2 * ix.edits[piece] + 1  # bands of twice this width begin at each multiple of it
     band = np.floor_divide(diagonal, width)
     keys = np.concatenate([np.stack([doc, piece, b]) for b in (band, band - 1)], axis=1)
@@ -187,9 +197,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     empty benchmark finds nothing; rows with a null or repeated id count each for
     themselves; further columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"))
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_t"))
     out = None
-    for ix in blocks(benchmark):
+    for ix, last in _told(blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -201,13 +211,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         yield C.batch({"doc_id": ids, "item_id": pa.array(item, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64()), "edits": pa.array(n, pa.int32())})
 
         part = own.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
+        if out is not None or not last:  # what was found is written, so that the index can go
+            part = C.store(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _told(blocks: Iterator[Index]) -> Iterator[tuple[Index, bool]]:
+    """Each index, and whether it is the last one."""
+    held = next(blocks, None)
+    while held is not None:
+        after = next(blocks, None)
+        yield held, after is None
+        held = after
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, all columns, in which no benchmark item is found."""
-    for ix in blocks(benchmark):
+    several = False
+    for ix, last in _told(blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(ix)
 
         def free(off: np.ndarray, data: np.ndarray, shared=shared) -> np.ndarray:
@@ -216,6 +239,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
             return keep
 
         docs = docs.where(C.flags(free)(docs[text_col]))
+        if several or not last:
+            several, docs = True, C.store(docs)
+            shared.destroy()
     return docs
 
 
