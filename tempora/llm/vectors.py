@@ -11,8 +11,10 @@ cosine reaches that count with probability RECALL.
 
 Equal vectors are one class. Classes within half the wanted angle of a leader form
 a ball: its members are all linked with each other by the triangle inequality, so
-a large group of near copies is counted, not paired. Pairs are only counted and
-verified across balls.
+a large group of near copies is counted, not paired. Classes within the wanted angle
+itself of a leader form a flock, whose members may be linked or not: they are held
+against each other by matrix products of blocks, and only counts and stars of their
+links leave a block. Pairs are only counted and verified across flocks.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, stars
 
 COLLISIONS, RECALL, PER_CELL, ROUNDS, WIDTH = 2, 0.997, 8, 6, 2.6
+#: Vectors of a block of a flock.
+BLOCK = 1024
 
 
 def unit(col: pa.Array) -> list[bytes | None]:
@@ -117,14 +121,13 @@ def _cosine(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*rest, StructField("cosine", DoubleType())]))
 
 
-def balls(classes: DataFrame, bits: int, cosine: float) -> DataFrame:
-    """classes (id, n, vec) with ball: the leader that a class is within half the angle of, else null.
+def balls(classes: DataFrame, bits: int, near: float, seed: int) -> DataFrame:
+    """classes (id, n, vec) with ball: the leader to which a class has the cosine near at least, else null.
 
     In each round, cells pick a leader, one that has a ball already if there is one."""
-    near = math.cos(math.acos(cosine) / 2) + 1e-9
     state = classes.withColumn("ball", F.lit(None).cast("long"))
     for turn in range(ROUNDS):
-        active = _cell_of(state.where("ball IS NULL OR ball = id").select("id", "vec", "ball"), bits, 1000 + turn)
+        active = _cell_of(state.where("ball IS NULL OR ball = id").select("id", "vec", "ball"), bits, seed + turn)
         lead = active.groupBy("cell").agg(F.min(F.struct(F.col("ball").isNull().alias("new"), "id", "vec")).alias("lead"), F.count("*").alias("size")).where("size > 1")
         tried = active.where("ball IS NULL").join(lead, "cell").where("id != lead.id").select("id", F.col("lead.id").alias("to"), "vec", F.col("lead.vec").alias("other"))
         joined = C.cut(_cosine(tried, "vec", "other").where(F.col("cosine") >= near).select("id", "to"))
@@ -135,8 +138,72 @@ def balls(classes: DataFrame, bits: int, cosine: float) -> DataFrame:
     return state
 
 
+def _dense(cosine: float):
+    """Of rows (key, side, id, ball, n, vec), sorted by key: the links of side 0 to side 1 (of all to all where there is no
+    side 1) between balls, as rows (id, m: vectors linked to it, a, b: null) and stars (null, null, a, b)."""
+
+    def links(p: pa.Table) -> pa.RecordBatch:
+        p = p.combine_chunks()
+        side, id_, ball, n = (p.column(c).to_numpy() for c in ("side", "id", "ball", "n"))
+        ids, counts, stars_ = [], [], []
+        for rows, x in _groups(p.column("vec")):
+            own, other = rows[side[rows] == 0], rows[side[rows] == 1]
+            y = x[side[rows] == 1] if len(other) else x[side[rows] == 0]
+            two, x = other if len(other) else own, x[side[rows] == 0]
+            linked = (x @ y.T >= cosine) & (ball[own][:, None] != ball[two])
+            i, j = np.nonzero(linked)
+            ids.append(id_[own])
+            counts.append(linked @ n[two])
+            if len(other):
+                ids.append(id_[other])
+                counts.append(n[own] @ linked)
+            if len(i):
+                stars_.append(stars(id_[own][i], id_[two][j]))
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        a, b = (np.concatenate(z) for z in zip(*stars_, strict=True)) if stars_ else (np.zeros(0, np.int64),) * 2
+        some = counts > 0
+        none = [None] * len(a)
+        return C.batch({
+            "id": pa.array([*ids[some].tolist(), *none], pa.int64()), "m": pa.array([*counts[some].tolist(), *none], pa.int64()),
+            "a": pa.array([*[None] * int(some.sum()), *a.tolist()], pa.int64()), "b": pa.array([*[None] * int(some.sum()), *b.tolist()], pa.int64()),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                p = pa.Table.from_batches([b.slice(lo, BLOCK)])
+                key = p.column("key").to_numpy()
+                while p.num_rows:
+                    last = held[-1].column("key")[-1].as_py() if held else key[0]
+                    end = int(np.searchsorted(key != last, True)) if (key != last).any() else len(key)
+                    if held and end == 0:
+                        yield links(pa.concat_tables(held))
+                        held = []
+                        continue
+                    held.append(p.slice(0, end))
+                    p, key = p.slice(end), key[end:]
+        if held:
+            yield links(pa.concat_tables(held))
+
+    return run
+
+
+def within(state: DataFrame, cosine: float) -> DataFrame:
+    """Links within flocks (id, n, vec, ball, flock) between balls, told as by _dense()."""
+    size = state.groupBy("flock").agg(F.count("*").alias("size"), F.min("ball").alias("lo"), F.max("ball").alias("hi")).where("lo < hi")
+    dealt = (
+        state.join(size.select("flock", "size"), "flock")
+        .withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        .select(F.xxhash64("flock", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "ball", "n", "vec")
+    )
+    return C.cut(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_dense(cosine), "id long, m long, a long, b long"))
+
+
 def _windows(width: float):
-    """Pairs of rows of a cell, of different balls, within width on the sorted projection; (key, value, id, ball) come sorted."""
+    """Pairs of rows of a cell, of different flocks, within width on the sorted projection; (key, value, id, flock) come sorted."""
 
     def pairs(key: np.ndarray, value: np.ndarray, id_: np.ndarray, ball: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
@@ -172,7 +239,7 @@ def _windows(width: float):
 
 
 def collisions(state: DataFrame, bits: int, count: int, cosine: float) -> DataFrame:
-    """Pairs (a, b) of classes of different balls that collide in COLLISIONS tables at least."""
+    """Pairs (a, b) of classes of different flocks that collide in COLLISIONS tables at least."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +252,7 @@ def collisions(state: DataFrame, bits: int, count: int, cosine: float) -> DataFr
                         yield C.batch({"key": _cells(z[:, 1:] > 0, t, y.shape[1]), "value": z[:, 0], "id": id_[r], "ball": ball[r]})
 
     width = WIDTH * math.sqrt(2 - 2 * cosine)
-    own = state.select("id", F.coalesce("ball", "id").alias("ball"), "vec")
+    own = state.select("id", F.col("flock").alias("ball"), "vec")
     sorted_ = own.mapInArrow(project, "key long, value double, id long, ball long").repartition("key").sortWithinPartitions("key", "value")
     return sorted_.mapInArrow(_windows(width), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COLLISIONS).select("a", "b")
 
@@ -208,15 +275,22 @@ def link(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_co
     fit = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL")
     classes = C.cut(fit.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", "vec"))
     bits, count = tables(classes.count(), cosine)
-    state = balls(classes, bits, cosine)
+    state = balls(classes, bits, math.cos(math.acos(cosine) / 2) + 1e-9, 1000).withColumn("ball", F.coalesce("ball", "id"))
+    flocks = balls(classes, bits, cosine, 2000).select("id", F.coalesce("ball", "id").alias("flock"))
+    state = C.cut(state.join(flocks, "id"))
+    dense = within(state, cosine)
     vec = state.select("id", "vec", "n")
     found = collisions(state, bits, count, cosine)
     both = found.join(vec.toDF("a", "va", "na"), "a").join(vec.toDF("b", "vb", "nb"), "b")
     links = C.cut(_cosine(both, "va", "vb").where(F.col("cosine") >= cosine))
-    cross = links.select(F.col("a").alias("id"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("m"))).groupBy("id").agg(F.sum("m").alias("m"))
-    owned = state.select("id", F.coalesce("ball", "id").alias("ball"), "n")
+    # two classes of different flocks may be of one ball, and then they are counted with it
+    owned = state.select("id", "ball", "n")
+    of = state.select("id", "ball")
+    links = links.join(of.toDF("a", "ball_a"), "a").join(of.toDF("b", "ball_b"), "b").where("ball_a != ball_b")
+    cross = links.select(F.col("a").alias("id"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("m"))).unionByName(dense.where("id IS NOT NULL").select("id", "m"))
+    cross = cross.groupBy("id").agg(F.sum("m").alias("m"))
     sizes = owned.groupBy("ball").agg(F.sum("n").alias("all"))
-    edges = owned.where("ball != id").select(F.col("ball").alias("a"), F.col("id").alias("b")).unionByName(links.select("a", "b"))
+    edges = owned.where("ball != id").select(F.col("ball").alias("a"), F.col("id").alias("b")).unionByName(links.select("a", "b")).unionByName(dense.where("a IS NOT NULL").select("a", "b"))
     comp = components(edges).toDF("id", "component")
     full = owned.join(sizes, "ball").join(cross, "id", "left").join(comp, "id", "left").select("id", (F.col("all") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     own = fit.join(classes.select("vec", "id"), "vec").select("vec_id", "id").join(full, "id").select("vec_id", "n_links", "component_id")
