@@ -13,6 +13,8 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY, TS, SEQ, EXT = "_key", "_ts", "_seq", "_ext"
+#: The time of the moment after.
+FOLLOW = "_follow"
 UNITS = {"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
 
 

@@ -58,17 +58,9 @@ def formatted(m: Measure) -> Measure:
     return m.map(text, plain)
 
 
-def _elapsed(line: Timeline) -> Signal:
-    """Nanoseconds since the moment before, 0 at the first."""
-    now = line.now()
-    before = Signal(line, N.Prev((now.node,), None), None)
-    return now.with_(lambda t, p: t - F.coalesce(p, t), before, default=0, py=lambda t, p: 0 if p is None else t - p, total=True)
-
-
 def duration_true(s: Signal) -> Measure:
     """Total time that s was true."""
-    part = _prev(s, False).with_(P._when, _elapsed(s.line), py=P._py_when)
-    out = P._filled(P._total(part), 0)
+    out = Signal(s.line, N.Integral((s.node,), 0), 0)
     return Measure(out, out)
 
 
@@ -97,6 +89,5 @@ def duration_of_current_level(s: Signal) -> Measure:
 
 def linear_change(rate: Signal) -> Measure:
     """The integral of a rate per second."""
-    part = _prev(rate, 0).with_(lambda r, t: r.cast("double") * t, _elapsed(rate.line), default=0.0, py=lambda r, t: float(r) * t, total=True)
-    out = P._filled(P._total(part), 0.0) / 1e9
+    out = Signal(rate.line, N.Integral((rate.node,), 0.0), 0.0) / 1e9
     return Measure(out, out)

@@ -283,6 +283,27 @@ class Total(Node):
         return (run[0] if run else None, kept), kept
 
 
+@dataclass(frozen=True, eq=False)
+class Integral(Node):
+    """The input times the nanoseconds that it held, so far; of a boolean, how long it was true. The frame tells the moment after each."""
+
+    windowed = True
+
+    def lower(self, x: Column) -> Column:
+        span = F.col(L.FOLLOW) - F.col(L.TS)
+        part = F.when(x, span) if self.default == 0 and not isinstance(self.default, float) else x.cast("double") * span
+        return F.coalesce(F.sum(part).over(L.so_far().rowsBetween(Window.unboundedPreceding, -1)), lit(self.default))
+
+    def start(self):
+        return (self.default, None, None)
+
+    def step(self, state, moment, x):
+        total, ts, before = state
+        if ts is not None and before:
+            total += before * (moment.ts - ts)
+        return (total, moment.ts, x), total
+
+
 def _ticks(at: Column) -> WindowSpec:
     return Window.partitionBy(L.KEY, at.cast("int")).orderBy(L.TS, L.SEQ)
 

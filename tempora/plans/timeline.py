@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tempora.functions import levels as L
 from tempora.plans import nodes as N
 
-MEASURE, FOLLOW, LAST, FIRST = "_measure", "_follow", "_last", "_first"
+MEASURE, LAST, FIRST = "_measure", "_last", "_first"
 
 
 @dataclass(frozen=True)
@@ -250,12 +250,12 @@ class Timeline:
             x = F.col(f"`{n}`")
             new[n] = F.coalesce(x, F.lit(f.initial)) if f.volatile else L.held(x, f.initial)
             new[f"{n}__clock"] = F.count(F.lit(1)).over(L.so_far()) if f.volatile else L.clock(x)
-        new[FOLLOW] = F.lead(L.TS).over(L.moments())
+        new[L.FOLLOW] = F.lead(L.TS).over(L.moments())
         df = self.rows.withColumns(new)
         if self.merge:
-            df = df.where(F.col(FOLLOW).isNull() | (F.col(FOLLOW) != F.col(L.TS)))
-        names = [n for n in new if n != FOLLOW]
-        return df.select(L.KEY, L.TS, L.SEQ, L.EXT, *[f"`{n}`" for n in names], *self.carried), names
+            df = df.where(F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != F.col(L.TS)))
+        names = [n for n in new if n != L.FOLLOW]
+        return df.select(L.KEY, L.TS, L.SEQ, L.EXT, L.FOLLOW, *[f"`{n}`" for n in names], *self.carried), names
 
     def columns(self, df: DataFrame, roots: list[N.Node], extra: dict[str, Column] | None = None) -> tuple[DataFrame, list[Column]]:
         """df with the windowed nodes that roots need, and the roots' columns; extra columns are added with the first windows."""
@@ -287,8 +287,6 @@ class Timeline:
         extra: dict[str, Column] = {}
         if any(t.at is not None for t in timers):
             extra[LAST] = F.max(F.when(F.col(L.EXT), ts)).over(whole)
-        if any(t.at is None for t in timers):
-            extra[FOLLOW] = F.lead(L.TS).over(L.moments())
         if any(t.measure for t in timers):
             extra[FIRST] = F.first(L.TS).over(L.so_far())
         df, at = self.columns(df, [t.at for t in timers if t.at is not None], extra)
@@ -303,7 +301,7 @@ class Timeline:
             origin = F.col(FIRST) if t.measure else F.lit(t.phase).cast(long)
             step = F.lit(t.period).cast(long)
             due = ts - F.pmod(ts - origin, step) + step
-            end = F.col(FOLLOW) if t.measure else F.col(FOLLOW) - 1
+            end = F.col(L.FOLLOW) if t.measure else F.col(L.FOLLOW) - 1
             (measured if t.measure else plain).append(F.when(due <= end, F.sequence(due, end, step)))
         none = F.array().cast("array<bigint>")
         kept = [n for n in (MEASURE,) if n in df.columns]
@@ -317,10 +315,10 @@ class Timeline:
             *[F.when(given, F.col(f"`{n}`")).alias(n) for n in (*names, *self.carried)],
         )
         filled = {n: F.last(f"`{n}`", ignorenulls=True).over(L.so_far()) for n in names}
-        filled[FOLLOW] = F.lead(L.TS).over(L.moments())
+        filled[L.FOLLOW] = F.lead(L.TS).over(L.moments())
         if measured or kept:  # the time is measured even where another moment stands
             filled[MEASURE] = F.coalesce(F.last(F.when(F.col(MEASURE), ts), ignorenulls=True).over(L.so_far()) == ts, F.lit(False))
-        rows = rows.withColumns(filled).where(F.col(L.EXT) | F.col(FOLLOW).isNull() | (F.col(FOLLOW) != ts)).drop(FOLLOW)
+        rows = rows.withColumns(filled).where(F.col(L.EXT) | F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != ts))
         return rows if measured or kept else rows.drop(MEASURE)
 
     def lower(self, roots: list[N.Node], every: Sequence[N.Timer] = ()) -> tuple[DataFrame, list[Column]]:
