@@ -44,6 +44,14 @@ def maximal(rolled: DataFrame) -> DataFrame:
     return first.join(inner, "hash", "left_anti").join(whole.drop("hash"), "conv_id")
 
 
+def membership(rolled: DataFrame) -> DataFrame:
+    """conv_id, kept_id of every conversation: the kept one that begins with its turns, the smallest if several do.
+
+    Prefixes of kept conversations are aggregated by hash before they are joined."""
+    prefixes = maximal(rolled).select("conv_id", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("conv_id").alias("kept_id"))
+    return rolled.select("conv_id", F.element_at("hashes", -1).alias("hash")).join(prefixes, "hash").select("conv_id", "kept_id")
+
+
 TEMPLATE = "concat('<|', t.role, '|>\n', trim(BOTH '\n' FROM t.text), '<|end|>')"
 
 

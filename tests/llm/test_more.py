@@ -98,6 +98,14 @@ def test_held_out_quality(spark):
     assert abs(np.mean([s for s, _ in rows]) - np.mean([y for _, y in rows])) < 0.05
 
 
+def test_where_collapsed_chats_went(spark):
+    rows = [(1, 0, "u", "hi"), (2, 0, "u", "hi"), (2, 1, "a", "yo"), (3, 0, "u", "hi"), (3, 1, "a", "yo"), (4, 0, "u", "bye"), (6, 0, "u", "hi"), (6, 1, "a", "no"), (None, 0, "u", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.kept_id for r in chats.membership(chats.rolling(df)).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 4, 6: 6}
+    assert chats.membership(chats.rolling(df.limit(0))).count() == 0
+
+
 def test_chats_of_many_turns_and_clashing_columns(spark):
     rows = [(1, i, "u" if i % 2 == 0 else "a", f"t{i}", 5) for i in range(3000)] + [(2, i, "u" if i % 2 == 0 else "a", f"t{i}", 6) for i in range(2990)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int").repartition(5)
