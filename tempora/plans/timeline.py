@@ -13,6 +13,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +42,9 @@ class Field:
             return self.default
         if self.values:
             return self.values[0]
-        return {"string": "", "boolean": False, "double": 0.0, "float": 0.0}.get(self.type, 0)
+        if self.type.startswith("array"):
+            return []
+        return {"string": "", "boolean": False, "double": 0.0, "float": 0.0, "timestamp": datetime.fromtimestamp(0, UTC)}.get(self.type, 0)
 
 
 def _tuple(*cols: Any) -> Any:

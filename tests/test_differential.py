@@ -139,6 +139,18 @@ def test_own_operators_and_names(spark, events):
         t["nothing"]
 
 
+def test_fields_of_every_type(spark):
+    """Times, arrays, enumerations (an unknown value is none), decimals: levels, changes and clocks in both forms."""
+    rows = [("u", 1, 0, "2024-01-01 00:00:05", [1, 2], "b", "1.5"), ("u", 2, 1, None, None, "zz", None), ("u", 3, 2, "2024-01-01 00:00:06", [1, 2], "a", "1.5"), ("u", 4, 3, None, [], None, "2.5")]
+    df = spark.createDataFrame(rows, "k string, t bigint, n bigint, w string, a array<bigint>, e string, x string")
+    fields = {"w": Field("timestamp"), "a": Field("array<bigint>"), "e": Field("string", values=("a", "b")), "x": Field("decimal(20,2)")}
+    t = Timeline.of(df, "k", "t", ["n"], fields)
+    q = Query(t).metric("w", t["w"].timestamp()).metric("a", t["a"].count_changes()).metric("r", t["e"].rank()).metric("c", t["e"].clock()).metric("x", t["x"].count_changes())
+    want = [(1704067205, 1, 1, 1, 1), (1704067205, 1, 1, 1, 1), (1704067206, 1, 0, 2, 1), (1704067206, 2, 0, 2, 2)]
+    for how in ("windows", "fold"):
+        assert [tuple(r)[2:] for r in q.run("k", "t", how=how).orderBy("t").collect()] == want
+
+
 def test_inspection(spark, events):
     t = Timeline.of(events, "k", "t", ["n"], FIELDS)
     q = Query(t, gate=[t["b"]]).metric("m", P.edge_latch(t["c"], t["d"], 3))
