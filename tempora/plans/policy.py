@@ -15,6 +15,7 @@ from tempora.operators import fold
 from tempora.operators.measurements import Measure, peek
 from tempora.operators.processors import if_
 from tempora.plans import nodes as N
+from tempora.plans.split import CHUNK
 from tempora.plans.timeline import MEASURE, Signal, Timeline
 
 
@@ -101,7 +102,10 @@ class Query:
         values: dict[str, Column] = {f"_m_{n}": got[f"m_{n}"].cast(kind) if kind else got[f"m_{n}"] for n, (_, kind, _) in self.metrics.items()}
         if self.reset is not None:
             values["_reset"] = got["reset"]
-        df = df.where(when).select(L.KEY, L.TS, L.SEQ, *line.carried, *[c.alias(n) for n, c in values.items()])
+        chunk = [CHUNK] if CHUNK in df.columns else []
+        df = df.where(when).select(L.KEY, *chunk, L.TS, L.SEQ, *line.carried, *[c.alias(n) for n, c in values.items()])
+        lagged = [f"_m_{n}" for n, (_, _, interval) in self.metrics.items() if interval]
+        df = line.previous(df, lagged + ["_reset"] * bool(lagged and self.reset is not None))
         names: list[Column] = [F.col(L.KEY).alias(key)]
         if ts:
             names.append(F.col(L.TS).alias(ts))
@@ -110,9 +114,10 @@ class Query:
             x = F.col(f"_m_{n}")
             names.append(x.alias(n))
             if interval:
-                before = F.coalesce(F.lag(x).over(L.moments()), F.lit(0))
+                last = F.col(f"_b__m_{n}")["v"]
+                before = F.coalesce(last, F.lit(0))
                 if self.reset is not None:
-                    before = F.when(F.col("_reset").eqNullSafe(F.lag("_reset").over(L.moments())) | F.lag(x).over(L.moments()).isNull(), before).otherwise(F.lit(0))
+                    before = F.when(F.col("_reset").eqNullSafe(F.col("_b__reset")["v"]) | last.isNull(), before).otherwise(F.lit(0))
                 names.append((x - before).alias(interval))
         return df.select(*names)
 

@@ -36,8 +36,8 @@ def events(spark: SparkSession, sf_dir: str, by_day: bool = False) -> DataFrame:
     )
 
 
-def timeline(spark: SparkSession, sf_dir: str, *fields: str, by_day: bool = False, merge: bool = True) -> Timeline:
-    return Timeline.of(events(spark, sf_dir, by_day), "user_id", "ts", ["event_id"], {f: FIELDS[f] for f in fields}, merge, ["event_id"])
+def timeline(spark: SparkSession, sf_dir: str, *fields: str, by_day: bool = False, merge: bool = True, split: int | None = None) -> Timeline:
+    return Timeline.of(events(spark, sf_dir, by_day), "user_id", "ts", ["event_id"], {f: FIELDS[f] for f in fields}, merge, ["event_id"], split)
 
 
 # The SQL side: a chain of selections, each from the one before, over the same patches.
@@ -296,6 +296,7 @@ _SESSION = chain(
 )
 
 
+@policy("session_metrics_split", _SESSION, "k", split=30)
 @policy("session_metrics", _SESSION, "k")
 def _(t: Timeline) -> Query:
     """View time and events in the running session (twelve hours without event end it), and since the last row."""

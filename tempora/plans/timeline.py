@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import levels as L
 from tempora.plans import nodes as N
+from tempora.plans.split import Splitter
 
 MEASURE, LAST, FIRST = "_measure", "_last", "_first"
 
@@ -189,13 +190,14 @@ class Signal:
 
 
 class Timeline:
-    def __init__(self, rows: DataFrame, fields: dict[str, Field], merge: bool, carried: Sequence[str]) -> None:
-        self.rows, self.fields, self.merge, self.carried = rows, fields, merge, list(carried)
-        self._ahead = 0
+    def __init__(self, rows: DataFrame, fields: dict[str, Field], merge: bool, carried: Sequence[str], split: int | None = None) -> None:
+        self.rows, self.fields, self.merge, self.carried, self.split = rows, fields, merge, list(carried), split
+        self._ahead, self._splitter = 0, None
 
     @classmethod
-    def of(cls, events: DataFrame, key: str, ts: str, seq: Sequence[str], fields: dict[str, Field], merge: bool = True, carried: Sequence[str] = ()) -> Timeline:
-        """fields name the columns of events; merge: events of one time make one moment."""
+    def of(cls, events: DataFrame, key: str, ts: str, seq: Sequence[str], fields: dict[str, Field], merge: bool = True, carried: Sequence[str] = (), split: int | None = None) -> Timeline:
+        """fields name the columns of events; merge: events of one time make one moment; split: rows of an entity that
+        a task takes at most, about, before the entity is split by time (see split.py)."""
         order = F.struct(*seq) if len(seq) > 1 else F.col(seq[0])
         time = F.col(ts) if dict(events.dtypes)[ts] == "bigint" else L.nanos(F.col(ts))
 
@@ -204,7 +206,7 @@ class Timeline:
             return F.when(x.isin(*f.values), x) if f.values else x
 
         rows = events.select(F.col(key).alias(L.KEY), time.alias(L.TS), order.alias(L.SEQ), F.lit(True).alias(L.EXT), *[patch(n, f).alias(n) for n, f in fields.items()], *[F.col(c).alias(f"_c_{c}") for c in carried])
-        return cls(rows, fields, merge, [f"_c_{c}" for c in carried])
+        return cls(rows, fields, merge, [f"_c_{c}" for c in carried], split)
 
     def signal(self, name: str) -> Signal:
         if name in self.fields:
@@ -281,25 +283,19 @@ class Timeline:
                 df = df.withColumns(layers[d])
         return df, [cols[number[id(r)]] for r in roots]
 
-    def insert(self, df: DataFrame, names: list[str], timers: list[N.Timer]) -> DataFrame:
-        """df with the moments of the timers, before the entity's last event; one that coincides with another is dropped.
+    def exploded(self, df: DataFrame, names: list[str], timers: list[N.Timer], at: list[Column]) -> tuple[DataFrame, bool]:
+        """(df's rows and those of the timers' moments, without levels and with MEASURE; whether any is to be measured).
 
-        Regular moments are told by the row before them, so no row carries more than lie in one gap between events."""
+        df tells LAST (the entity's last event) and FIRST. Regular moments are told by the row before them, so no row
+        carries more than lie in one gap between events."""
         ts, long = F.col(L.TS), "bigint"
-        whole = L.moments().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        extra: dict[str, Column] = {}
-        if any(t.at is not None for t in timers):
-            extra[LAST] = F.max(F.when(F.col(L.EXT), ts)).over(whole)
-        if any(t.measure for t in timers):
-            extra[FIRST] = F.first(L.TS).over(L.so_far())
-        df, at = self.columns(df, [t.at for t in timers if t.at is not None], extra)
-        at = iter(at)
+        told = iter(at)
         plain: list[Column] = []
         measured: list[Column] = []
         for t in timers:
             if t.at is not None:
                 due = ts + F.lit(t.offset)
-                plain.append(F.when(next(at) & (due < F.col(LAST)), F.array(due)))
+                plain.append(F.when(next(told) & (due < F.col(LAST)), F.array(due)))
                 continue
             origin = F.col(FIRST) if t.measure else F.lit(t.phase).cast(long)
             step = F.lit(t.period).cast(long)
@@ -307,7 +303,7 @@ class Timeline:
             end = F.col(L.FOLLOW) if t.measure else F.col(L.FOLLOW) - 1
             (measured if t.measure else plain).append(F.when(due <= end, F.sequence(due, end, step)))
         none = F.array().cast("array<bigint>")
-        kept = [n for n in (MEASURE,) if n in df.columns]
+        kept = MEASURE in df.columns
         times = [F.transform(F.coalesce(x, none), lambda t: F.struct(t.alias("t"), F.lit(False).alias("m"))) for x in plain]
         times += [F.transform(F.coalesce(x, none), lambda t: F.struct(t.alias("t"), F.lit(True).alias("m"))) for x in measured]
         own = F.array(F.struct(F.lit(None).cast(long).alias("t"), (F.col(MEASURE) if kept else F.lit(False)).alias("m")))
@@ -317,17 +313,30 @@ class Timeline:
             L.KEY, F.coalesce("_x.t", L.TS).alias(L.TS), F.when(given, F.col(L.SEQ)).alias(L.SEQ), (given & F.col(L.EXT)).alias(L.EXT), F.col("_x.m").alias(MEASURE),
             *[F.when(given, F.col(f"`{n}`")).alias(n) for n in (*names, *self.carried)],
         )
+        return rows, bool(measured) or kept
+
+    def insert(self, df: DataFrame, names: list[str], timers: list[N.Timer]) -> DataFrame:
+        """df with the moments of the timers, before the entity's last event; one that coincides with another is dropped."""
+        whole = L.moments().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        extra: dict[str, Column] = {}
+        if any(t.at is not None for t in timers):
+            extra[LAST] = F.max(F.when(F.col(L.EXT), F.col(L.TS))).over(whole)
+        if any(t.measure for t in timers):
+            extra[FIRST] = F.first(L.TS).over(L.so_far())
+        df, at = self.columns(df, [t.at for t in timers if t.at is not None], extra)
+        rows, measured = self.exploded(df, names, timers, at)
         filled = {n: F.last(f"`{n}`", ignorenulls=True).over(L.so_far()) for n in names}
         filled[L.FOLLOW] = F.lead(L.TS).over(L.moments())
-        if measured or kept:  # the time is measured even where another moment stands
-            filled[MEASURE] = F.coalesce(F.last(F.when(F.col(MEASURE), ts), ignorenulls=True).over(L.so_far()) == ts, F.lit(False))
-        rows = rows.withColumns(filled).where(F.col(L.EXT) | F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != ts))
-        return rows if measured or kept else rows.drop(MEASURE)
+        if measured:  # the time is measured even where another moment stands
+            filled[MEASURE] = F.coalesce(F.last(F.when(F.col(MEASURE), F.col(L.TS)), ignorenulls=True).over(L.so_far()) == F.col(L.TS), F.lit(False))
+        rows = rows.withColumns(filled).where(F.col(L.EXT) | F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != F.col(L.TS)))
+        return rows if measured else rows.drop(MEASURE)
 
     def lower(self, roots: list[N.Node], every: Sequence[N.Timer] = ()) -> tuple[DataFrame, list[Column]]:
         """(all moments, the roots' columns)."""
         nodes, number = N.canonical(roots)
-        df, names = self.levels(nodes)
+        how = self.splitter() or self
+        df, names = how.levels(nodes)
         layer: list[int] = []
         due: dict[int, dict[tuple, N.Timer]] = {}
         for n in nodes:
@@ -341,5 +350,17 @@ class Timeline:
         for t in every:
             due.setdefault(0, {})[None, 0, t.period, -1] = t
         for k in sorted(due):
-            df = self.insert(df, names, list(due[k].values()))
-        return self.columns(df, roots)
+            df = how.insert(df, names, list(due[k].values()))
+        return how.columns(df, roots)
+
+    def splitter(self) -> Splitter | None:
+        """What lowers a timeline whose large entities are split, if there are any."""
+        if self.split and self._splitter is None:
+            self._splitter = Splitter(self, self.split)
+        return self._splitter if self._splitter is not None and self._splitter.cuts is not None else None
+
+    def previous(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        """df with _b_<name> for each of cols: the value in the entity's row before, wrapped; null at the first."""
+        if (how := self.splitter()) is not None:
+            return how.previous(df, cols)
+        return df.withColumns({f"_b_{c}": F.lag(F.struct(F.col(c).alias("v"))).over(L.moments()) for c in cols}) if cols else df

@@ -79,6 +79,32 @@ def test_windows_equal_fold(events, name, policy):
     assert got == want and want
 
 
+@pytest.mark.parametrize("name, policy", [("clocks", "events"), ("live", "events"), ("folds", "events"), ("priors", "events"), ("latches", "filter"), ("stacked", "every"), ("scoped", "reset"), ("measures", "left")])
+def test_split_entities(events, name, policy):
+    """Entities that are cut into chunks of a few rows, against the fold."""
+
+    def build(split):
+        t = Timeline.of(events, "k", "t", ["n"], FIELDS, merge=policy != "filter", split=split)
+        q = Query(t, **POLICIES[policy](t))
+        if policy == "every":
+            q.every(6)
+        signals = SIGNALS[name](t)[:4]
+        for i, s in enumerate(signals):
+            q.metric(f"m{i}", s, interval=f"i{i}" if policy == "reset" and name in ("measures", "scoped") else None)
+        return t, q
+
+    t, q = build(7)
+    got = rows(q, "windows")
+    assert got == rows(build(None)[1], "fold") and t.splitter() is not None
+
+
+def test_what_cannot_be_split(events):
+    t = Timeline.of(events, "k", "t", ["n"], FIELDS, split=7)
+    with pytest.raises(ValueError):
+        Query(t).metric("m", t["c"].moving_average(3)).run("k", "t")
+    assert Timeline.of(events, "k", "t", ["n"], FIELDS, split=1000).splitter() is None
+
+
 @pytest.mark.parametrize("name", ["duration_true", "linear_change", "scoped"])
 def test_order_of_declaration(events, name):
     """A measurement is the same whether timers are declared before it or after it."""
