@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Documents that the model is fitted on at most, in equal parts of each language (LEAST at least): those of smallest hash of doc_id.
-SAMPLE, LEAST = 2000, 8
+SAMPLE, LEAST, MERGES = 2000, 8, 8
 LANDMARKS, RIDGE, SHARPNESS = 160, 1e-2, 6.0
 FOLDS, HELD_OUT, ROWS = 3, 1, 256
 
@@ -119,8 +119,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     n = labelled.select("lang").distinct().count()
     share = max(LEAST, sample // max(1, n))
-    few = labelled.select("id", "lang", F.xxhash64("id").alias("hash")).mapInArrow(_smallest(share), "id long, lang string, hash long")
-    ranked = few.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    # each task's smallest, then those of MERGES tasks, so a language's rank is told from share * MERGES rows at most
+    kind = "id long, lang string, hash long"
+    few = labelled.select("id", "lang", F.xxhash64("id").alias("hash")).mapInArrow(_smallest(share), kind)
+    fewer = few.groupBy("id").agg(F.min("lang").alias("lang"), F.min("hash").alias("hash")).coalesce(MERGES).mapInArrow(_smallest(share), kind)
+    ranked = fewer.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id")))
     ids = ranked.where(F.col("rank") <= share).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).orderBy(F.col("rank"), "_lang").limit(max(sample, LEAST * n))
     got = C.sample_texts(docs, ids, id_col, text_col, [])
     got = got.take(pc.sort_indices(got, sort_keys=[("_id", "ascending")]))
