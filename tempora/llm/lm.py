@@ -298,6 +298,17 @@ def score_codes(frequent: tuple[np.ndarray, np.ndarray], off: np.ndarray, data:
     return out, lists
 
 
+def frequent_enough(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts whose n is so high that they are most at most, told from a histogram; no task sorts them."""
+    step = F.floor(8 * F.log2(F.col(n)))
+    have, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).collect(), key=lambda r: -r.step):
+        if have + r.rows > most:
+            break
+        have, lowest = have + r.rows, r.least
+    return counts.where(F.col(n) >= lowest if lowest is not None else F.lit(False))
+
+
 def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -314,10 +325,10 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_all, v_all = words + n_train, distinct + bool(n_train)
     deepest = C.store(code_counts(train))
     model = learn(deepest)
-    first = code_logp(deepest.orderBy(F.desc("n"), "code").limit(HEAD_CODES), model).toArrow()
+    first = code_logp(frequent_enough(deepest, "n", HEAD_CODES), model).toArrow()
     first = first.take(pc.sort_indices(first, sort_keys=[("code", "ascending")]))
     frequent = tuple(first.column(n).to_numpy() for n in ("code", "logp"))
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD)
+    top = frequent_enough(counts, "c", HEAD)
     head = {bytes(w): (math.log10(c + 1)) for w, c in zip(*(x.to_pylist() for x in top.toArrow().columns), strict=True)}
     shared = spark.sparkContext.broadcast((frequent, head))
     listed = len(head) == distinct  # then no other word is known
