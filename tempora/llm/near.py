@@ -13,10 +13,11 @@ shingle sets.
 Only links that matter are looked for: documents with equal sets are one class
 from the start, and a pair within a component that is already connected is never
 verified. In the first round every class proposes its best candidate in each
-bucket. In the last one all candidates that remain between components are
-gathered to clusters, and the sets of a cluster are verified in blocks, so that no
-table holds the pairs of a large group. Large buckets are dealt out in pairs of
-blocks of BLOCK classes, too.
+bucket. In the last one all candidates that remain between components count: those
+of a bucket with few pairs a class are verified pair by pair; those of one with more
+are gathered to clusters, and the sets of a cluster are verified in blocks, so that no
+table holds the pairs of a large group and no chain of buckets makes a cluster. Large
+buckets are dealt out in pairs of blocks of BLOCK classes, too.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ M, ROWS, BITS = 128, 4, 10
 #: Probability that a pair at the threshold has too few equal registers to be verified.
 MISS = 1e-6
 BLOCK, ROUNDS = 512, 2
+#: Candidate pairs a class from which on a bucket's candidates are verified in blocks.
+DENSE = 2
 #: Shingles of a block of sets that are verified against another block's.
 BLOCK_HASHES = 1 << 16
 
@@ -171,12 +174,12 @@ def _pairs(group: np.ndarray, side: np.ndarray, comp: np.ndarray) -> Iterator[tu
             yield left[ok], left[ok] + step
 
 
-def _propose(turn: int, least: int):
+def _propose(turn: int, least: int, dense: int):
     """Candidates between the components of buckets, or of pairs of their blocks; rows come sorted by bucket, i, j.
 
     A pair is a matter of the first bucket that both share. In all turns but the
-    last a class proposes its best partner; in the last one the candidates of a
-    batch are told as stars of their components."""
+    last a class proposes its best partner; in the last one candidates are told as they
+    are (est 0) or, in buckets of many, as stars of their components (est 1)."""
     last = turn == ROUNDS - 1
 
     def some(bucket: np.ndarray, group: np.ndarray, side: np.ndarray, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
@@ -197,8 +200,11 @@ def _propose(turn: int, least: int):
         i, j, e = (np.concatenate([*v, np.zeros(0, t)]).astype(t) for v, t in ((left, int), (right, int), (est, float)))
         x, a, b = np.r_[ids[i], ids[j]], np.r_[ids[i], ids[j]], np.r_[ids[j], ids[i]]
         if last:
-            a, b = stars(ids[i], ids[j])
-            x, e = a, np.ones(len(a))
+            n = int(group[-1]) + 1
+            many = (np.bincount(group[i], minlength=n) > dense * np.bincount(group, minlength=n))[group[i]]
+            centre, node = stars(ids[i[many]], ids[j[many]])
+            a, b = np.r_[ids[i[~many]], centre], np.r_[ids[j[~many]], node]
+            x, e = a, np.repeat([0.0, 1.0], [int((~many).sum()), len(centre)])
         else:
             e = np.r_[e, e]
             order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -e, x))
@@ -236,7 +242,8 @@ def _propose(turn: int, least: int):
 
 
 def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a bucket and may be similar enough; in the last turn, stars of them."""
+    """Pairs (a, b) of classes of different components that share a bucket and may be similar enough; in the last turn with
+    dense, which marks stars of them."""
     held = members.join(labels, "id")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     dealt = (
@@ -247,9 +254,9 @@ def candidates(members: DataFrame, reps: DataFrame, labels: DataFrame, turn: int
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     )
     signed = dealt.join(reps, "id").select("bucket", "i", "j", "id", "component", "sig", "side")
-    pairs = signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn, least_equal(percent)), "x long, a long, b long, est double")
+    pairs = signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_propose(turn, least_equal(percent), DENSE), "x long, a long, b long, est double")
     if turn == ROUNDS - 1:
-        return pairs.select("a", "b").distinct()
+        return pairs.select("a", "b", (F.col("est") > 0).alias("dense")).distinct()
     best = pairs.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p"))
     return best.select("p.a", "p.b").distinct()
 
@@ -392,7 +399,12 @@ def _link(docs: DataFrame, rows: DataFrame | None, k: int, percent: int) -> Data
     labels, edges = ids.withColumn("component", F.col("id")), None
     for turn in range(ROUNDS):
         pairs = candidates(members, reps, labels, turn, percent)
-        found = C.cut(verified(pairs, held, percent) if turn < ROUNDS - 1 else verified_in_blocks(pairs, labels, held, percent))
+        if turn < ROUNDS - 1:
+            found = C.cut(verified(pairs, held, percent))
+        else:
+            pairs = C.cut(pairs)
+            found, dense = verified(pairs.where("NOT dense"), held, percent), pairs.where("dense").select("a", "b")
+            found = C.cut(found if dense.isEmpty() else found.unionByName(verified_in_blocks(dense, labels, held, percent)))
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)

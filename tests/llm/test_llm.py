@@ -252,8 +252,9 @@ def test_near_group_around_the_threshold(spark, monkeypatch):
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
     want = {i: c for i, (_, c) in similar(rows, 4).items()}
     assert 10 < sum(c == i for i, c in want.items()) < 150
-    for block, shingles in ((16, near.BLOCK_HASHES), (512, 1500)):
+    for block, shingles, dense in ((16, near.BLOCK_HASHES, 8), (512, 1500, 0), (512, 1500, 10**6)):
         monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "DENSE", dense)
         monkeypatch.setattr(near, "BLOCK_HASHES", shingles)
         assert {r.doc_id: r.component_id for r in near.link(df, 4).collect()} == want
 
