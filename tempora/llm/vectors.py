@@ -11,8 +11,8 @@ cosine reaches that count with probability RECALL.
 
 Equal vectors are one class. Classes within half the wanted angle of a leader form
 a ball: its members are all linked with each other by the triangle inequality, so
-a large group of near copies is counted, not paired. Classes within the wanted angle
-itself of a leader form a flock, whose members may be linked or not: they are held
+a large group of near copies is counted, not paired. Balls whose leaders are within
+the wanted angle of one form a flock, whose members may be linked or not: they are held
 against each other by matrix products of blocks, and only counts and stars of their
 links leave a block. Pairs are only counted and verified across flocks.
 """
@@ -31,8 +31,8 @@ from . import common as C
 from .components import components, stars
 
 COLLISIONS, RECALL, PER_CELL, ROUNDS, WIDTH = 2, 0.997, 8, 6, 2.6
-#: Vectors of a block of a flock.
-BLOCK = 1024
+#: Vectors of a block of a flock; rounds in which flocks are made; classes a partition between rounds.
+BLOCK, FLOCK_ROUNDS, ROWS = 1024, 3, 50_000
 
 
 def unit(col: pa.Array) -> list[bytes | None]:
@@ -121,21 +121,21 @@ def _cosine(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.mapInArrow(run, StructType([*rest, StructField("cosine", DoubleType())]))
 
 
-def balls(classes: DataFrame, bits: int, near: float, seed: int) -> DataFrame:
-    """classes (id, n, vec) with ball: the leader to which a class has the cosine near at least, else null.
+def balls(classes: DataFrame, bits: int, near: float, seed: int, few: int, rounds: int = ROUNDS) -> DataFrame:
+    """classes (id, n, vec) with ball: the leader to which a class has the cosine near at least, or its own id; in few partitions.
 
     In each round, cells pick a leader, one that has a ball already if there is one."""
     state = classes.withColumn("ball", F.lit(None).cast("long"))
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         active = _cell_of(state.where("ball IS NULL OR ball = id").select("id", "vec", "ball"), bits, seed + turn)
         lead = active.groupBy("cell").agg(F.min(F.struct(F.col("ball").isNull().alias("new"), "id", "vec")).alias("lead"), F.count("*").alias("size")).where("size > 1")
         tried = active.where("ball IS NULL").join(lead, "cell").where("id != lead.id").select("id", F.col("lead.id").alias("to"), "vec", F.col("lead.vec").alias("other"))
-        joined = C.cut(_cosine(tried, "vec", "other").where(F.col("cosine") >= near).select("id", "to"))
+        joined = C.cut(_cosine(tried, "vec", "other").where(F.col("cosine") >= near).select("id", "to").coalesce(few))
         if joined.isEmpty():
             continue
         moves = joined.unionByName(joined.select(F.col("to").alias("id"), "to").distinct())
-        state = C.cut(state.join(moves, "id", "left").select("id", "n", "vec", F.coalesce("ball", "to").alias("ball")))
-    return state
+        state = C.cut(state.join(moves, "id", "left").select("id", "n", "vec", F.coalesce("ball", "to").alias("ball")).coalesce(few))
+    return state.withColumn("ball", F.coalesce("ball", "id"))
 
 
 def _dense(cosine: float):
@@ -274,19 +274,19 @@ def link(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_co
     rows = C.cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(units, "vec_id long, vec binary"))
     fit = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL")
     classes = C.cut(fit.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", "vec"))
-    bits, count = tables(classes.count(), cosine)
-    state = balls(classes, bits, math.cos(math.acos(cosine) / 2) + 1e-9, 1000).withColumn("ball", F.coalesce("ball", "id"))
-    flocks = balls(classes, bits, cosine, 2000).select("id", F.coalesce("ball", "id").alias("flock"))
-    state = C.cut(state.join(flocks, "id"))
+    size = classes.count()
+    bits, count = tables(size, cosine)
+    few = max(4, -(-size // ROWS))
+    state = balls(classes, bits, math.cos(math.acos(cosine) / 2) + 1e-9, 1000, few)
+    # a ball goes to the flock of its leader
+    flocks = balls(state.where("ball = id").select("id", "n", "vec"), bits, cosine, 2000, few, FLOCK_ROUNDS).select(F.col("id").alias("ball"), F.col("ball").alias("flock"))
+    state = C.cut(state.join(flocks, "ball").coalesce(few))
     dense = within(state, cosine)
     vec = state.select("id", "vec", "n")
     found = collisions(state, bits, count, cosine)
     both = found.join(vec.toDF("a", "va", "na"), "a").join(vec.toDF("b", "vb", "nb"), "b")
     links = C.cut(_cosine(both, "va", "vb").where(F.col("cosine") >= cosine))
-    # two classes of different flocks may be of one ball, and then they are counted with it
     owned = state.select("id", "ball", "n")
-    of = state.select("id", "ball")
-    links = links.join(of.toDF("a", "ball_a"), "a").join(of.toDF("b", "ball_b"), "b").where("ball_a != ball_b")
     cross = links.select(F.col("a").alias("id"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.col("na").alias("m"))).unionByName(dense.where("id IS NOT NULL").select("id", "m"))
     cross = cross.groupBy("id").agg(F.sum("m").alias("m"))
     sizes = owned.groupBy("ball").agg(F.sum("n").alias("all"))
