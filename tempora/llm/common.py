@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RUN_BYTES = 1 << 20
@@ -209,10 +209,15 @@ def flags(f: Callable[[np.ndarray, np.ndarray], np.ndarray], rows: int = 4096) -
     return F.arrow_udf(run, "boolean")
 
 
-def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, extra: list[str]) -> pa.Table:
-    """The whole texts of a few documents, brought to the driver; ids has an explicit limit."""
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in docs.columns if c in extra and c not in (id_col, text_col)])
-    return picked.join(F.broadcast(ids), "_id").toArrow()
+#: Bytes of text that a model is fitted on at most; texts are taken whole, in order, as long as they fit.
+SAMPLE_BYTES = 64 << 20
+
+
+def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> pa.Table:
+    """The whole texts of a few documents, brought to the driver; ids has an explicit limit and tells their _order."""
+    picked = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(ids), "_id")
+    upto = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")).over(Window.orderBy("_order", "_id", F.xxhash64("_text")).rowsBetween(Window.unboundedPreceding, 0))
+    return picked.withColumn("_bytes", upto).where(F.col("_bytes") <= SAMPLE_BYTES).drop("_bytes", "_order").toArrow()
 
 
 def batch(cols: dict[str, object], types: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:

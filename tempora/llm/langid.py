@@ -124,8 +124,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     few = labelled.select("id", "lang", F.xxhash64("id").alias("hash")).mapInArrow(_smallest(share), kind)
     fewer = few.groupBy("id").agg(F.min("lang").alias("lang"), F.min("hash").alias("hash")).coalesce(MERGES).mapInArrow(_smallest(share), kind)
     ranked = fewer.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id")))
-    ids = ranked.where(F.col("rank") <= share).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).orderBy(F.col("rank"), "_lang").limit(max(sample, LEAST * n))
-    got = C.sample_texts(docs, ids, id_col, text_col, [])
+    ids = ranked.where(F.col("rank") <= share).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("rank").alias("_order")).orderBy("_order", "_lang").limit(max(sample, LEAST * n))
+    got = C.sample_texts(docs, ids, id_col, text_col)
     got = got.take(pc.sort_indices(got, sort_keys=[("_id", "ascending")]))
     return fit(got.column("_text").combine_chunks(), got.column("_lang").to_pylist())
 

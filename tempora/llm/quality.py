@@ -189,11 +189,11 @@ def predict(model: Model, off: np.ndarray, data: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled documents outside the held-out fold. Of several labels of a document the smallest counts."""
     ids = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("double").alias("_label"))
+        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("double").alias("_label"))
         .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (C.remainder("_id", FOLDS) != HELD_OUT))
-        .groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+        .groupBy("_id").agg(F.min("_label").alias("_label")).withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(sample)
     )
-    got = C.sample_texts(docs, ids, id_col, text_col, [])
+    got = C.sample_texts(docs, ids, id_col, text_col)
     order = pc.sort_indices(got, sort_keys=[("_id", "ascending")])
     got = got.take(order)
     return fit(got.column("_text").combine_chunks(), np.array(got.column("_label").to_pylist(), float))
