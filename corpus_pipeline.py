@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir), docs having the columns of the table
 documents. The first four return rows of docs with those columns; the last returns
 doc_id, n_tokens and digests of the ids and of the bytes that they decode to.
 Between stages the rows are written as Parquet and read again.
+
+An empty table gives an empty one at every stage. Null and empty texts are judged like
+any other by the classifier, and pass the other stages as they are. Rows that repeat a
+doc_id, or have none, are rows of their own; of equal or similar texts one row stays.
+Further columns are carried along.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, counted and told by digests; a null or empty text has none."""
     return bpe.encode_documents(docs, *bpe.default_vocabulary())
 
 
