@@ -157,6 +157,38 @@ class StateMachineBuilder:
         default = {"string": "", "boolean": False, "double": 0.0}.get(kind, 0) if default is None else default
         return Signal(self.clock.line, N.StateMachine(tuple(inputs), default, f=self.f, init=self.init, kind=kind), default)
 
+    def finite(self, states: Sequence[Any], alphabet: Sequence[Any], longest: int = 1 << 16) -> Signal:
+        """The machine of these states (init among them) over this data, as windows: a moment is a map of states, and maps are
+        composed by doubling, in as many windows as the logarithm of longest, the most moments that an entity may have (more
+        are an error). Other data leave the state as it is."""
+        if self.f is None:
+            raise ValueError("no transition function")
+        same, start = list(range(len(states))), list(states).index(self.init)
+        maps = {a: [list(states).index(self.f(s, a)) for s in states] for a in alphabet}
+
+        def column(at: Column, data: Column, *reset: Column) -> Column:
+            out = F.array(*map(F.lit, same))
+            for a, m in maps.items():
+                out = F.when(at & (data == a), F.array(*map(F.lit, m))).otherwise(out)
+            return F.when(reset[0], F.array_repeat(F.element_at(out, start + 1), len(same))).otherwise(out) if reset else out
+
+        def plain(at: bool, data: Any, *reset: bool) -> list[int]:
+            out = maps.get(data, same) if at else same
+            return [out[start]] * len(same) if reset and reset[0] else out
+
+        at = self.clock.changes()
+        out = at.with_(column, self.data, *([self.scope.changes()] if self.scope is not None else []), py=plain, total=True)
+        for k in range(max(1, (longest - 1).bit_length())):
+            out = Signal(out.line, N.Doubled((out.node,), None, reach=1 << k), None)
+        place = _total(at.line.const(1), "count")
+        default = type(self.init)()
+
+        def state(maps: Column, n: Column) -> Column:
+            own = F.element_at(F.array(*map(F.lit, states)), F.element_at(maps, start + 1) + 1)
+            return F.when(n <= longest, own).otherwise(F.raise_error(F.lit(f"an entity of more than {longest} moments")))
+
+        return out.with_(state, place, default=default, py=lambda m, n: states[m[start]], total=True)
+
     def saturating(self, limit: int) -> Signal:
         """The machine that counts ticks from init up to limit."""
         ticks = _total(self.clock.changes().with_(_when, 1, py=_py_when), "count", *([scope_run(self.scope)] if self.scope is not None else []))

@@ -429,6 +429,26 @@ class Windowed(Node):
         return self.py(state, *values)
 
 
+@dataclass(frozen=True, eq=False)
+class Doubled(Node):
+    """Maps of numbers, given as arrays: each after what the moments from twice as far back, up to reach moments ago, come to."""
+
+    windowed = True
+    reach: int = 1
+
+    def lower(self, x: Column) -> Column:
+        earlier = F.lag(x, self.reach).over(L.moments())
+        return F.when(earlier.isNull(), x).otherwise(F.transform(earlier, lambda s: F.element_at(x, s + 1)))
+
+    def start(self):
+        return deque(maxlen=self.reach)
+
+    def step(self, state, moment, x):
+        out = [x[s] for s in state[0]] if len(state) == self.reach else x
+        state.append(x)
+        return state, out
+
+
 # Folds: nothing but a step
 
 

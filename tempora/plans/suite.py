@@ -325,6 +325,9 @@ def _dfa(s: int, x: str) -> int:
 
 _DFA = "CASE WHEN e.k = 'view' THEN 1 WHEN {s} = 1 AND e.k = 'click' THEN 2 WHEN {s} = 2 AND e.k = 'error' THEN 1 WHEN {s} = 1 AND e.k = 'purchase' THEN 9 ELSE -1 END"
 query("state_machine_dfa", recursion("0", _DFA, "state"), "k")(lambda t: {"state": P.StateMachineBuilder(t["k"].clock(), t["k"]).init_state(0).transition_fn(_dfa).build()})
+query("state_machine_finite", recursion("0", _DFA, "state"), "k")(
+    lambda t: {"state": P.StateMachineBuilder(t["k"].clock(), t["k"]).init_state(0).transition_fn(_dfa).finite((0, 1, 2, 9, -1), TYPES, 1 << 10)}
+)
 _SUM = "CAST((CASE WHEN e.edge THEN 5 ELSE {s} END * 3 + length(e.k)) % 1000 AS INT)"
 query("state_machine_scoped", recursion("5", _SUM, extra=", starts_with(k, 's') <> lag(starts_with(k, 's'), 1, false) " + W + " AS edge"), "k")(
     lambda t: {"m": P.StateMachineBuilder(t["k"].clock(), t["k"]).init_state(5).transition_fn(lambda s, x: (s * 3 + len(x)) % 1000).scoped(t["k"].starts_with("s")).build()}

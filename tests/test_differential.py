@@ -165,6 +165,25 @@ def test_own_operators_and_names(spark, events):
         t["nothing"]
 
 
+def test_finite_machines(events):
+    """Maps composed by doubling, against the general machine; an entity of too many moments is an error."""
+    f = lambda s, x: (2 * s + x) % 5
+
+    def build(scope, how):
+        t = Timeline.of(events, "k", "t", ["n"], FIELDS)
+        b = P.StateMachineBuilder(t["d"].clock(), t["c"]).init_state(3).transition_fn(f)
+        b = b.scoped(scopes(t)) if scope else b
+        return Query(t).metric("m", b.build("bigint") if how == "build" else b.finite(range(5), range(3), 64), "bigint")
+
+    for scope in (False, True):
+        want = rows(build(scope, "build"), "fold")
+        assert rows(build(scope, "finite"), "windows") == want == rows(build(scope, "finite"), "fold")
+    t = Timeline.of(events, "k", "t", ["n"], FIELDS)
+    short = Query(t).metric("m", P.StateMachineBuilder(t["d"].clock(), t["c"]).init_state(3).transition_fn(f).finite(range(5), range(3), 4))
+    with pytest.raises(Exception, match="more than 4 moments"):
+        short.run("k").collect()
+
+
 def test_fields_of_every_type(spark):
     """Times, arrays, enumerations (an unknown value is none), decimals: levels, changes and clocks in both forms."""
     rows = [("u", 1, 0, "2024-01-01 00:00:05", [1, 2], "b", "1.5"), ("u", 2, 1, None, None, "zz", None), ("u", 3, 2, "2024-01-01 00:00:06", [1, 2], "a", "1.5"), ("u", 4, 3, None, [], None, "2.5")]
