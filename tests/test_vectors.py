@@ -1,4 +1,4 @@
-"""Small timelines with known results; times are 0, 1, 2, ... ns unless given."""
+"""Small timelines with known results, fixed values of FIXTURES.md section 3 among them; times are 0, 1, 2, ... ns unless given."""
 
 from __future__ import annotations
 
