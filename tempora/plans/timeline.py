@@ -196,7 +196,8 @@ class Timeline:
 
     @classmethod
     def of(cls, events: DataFrame, key: str, ts: str, seq: Sequence[str], fields: dict[str, Field], merge: bool = True, carried: Sequence[str] = (), split: int | None = None) -> Timeline:
-        """fields name the columns of events; merge: events of one time make one moment; split: rows of an entity that
+        """fields name the columns of events (those without a time are left out, those without a key are one entity's);
+        merge: events of one time make one moment; split: rows of an entity that
         a task takes at most, about, before the entity is split by time (see split.py)."""
         order = F.struct(*seq) if len(seq) > 1 else F.col(seq[0])
         time = F.col(ts) if dict(events.dtypes)[ts] == "bigint" else L.nanos(F.col(ts))
@@ -206,6 +207,7 @@ class Timeline:
             return F.when(x.isin(*f.values), x) if f.values else x
 
         rows = events.select(F.col(key).alias(L.KEY), time.alias(L.TS), order.alias(L.SEQ), F.lit(True).alias(L.EXT), *[patch(n, f).alias(n) for n, f in fields.items()], *[F.col(c).alias(f"_c_{c}") for c in carried])
+        rows = rows.where(F.col(L.TS).isNotNull())
         return cls(rows, fields, merge, [f"_c_{c}" for c in carried], split)
 
     def signal(self, name: str) -> Signal:
