@@ -18,8 +18,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries of a worker's memory of pre-tokens; the older generation is forgotten as a whole.
-CACHE = 250_000
+from . import common as C
+
+#: Entries of a task's memory of pre-tokens; the older generation is forgotten as a whole, and all of it with the task.
+CACHE = 400_000
 
 
 def byte_chars() -> str:
@@ -125,6 +127,9 @@ class Codec:
                 self._learn([p for p in set(parts) if p not in known])
         return " ".join(map(known.__getitem__, parts))
 
+    def forget(self) -> None:
+        self.parts, self.older, self.tokens = {}, {}, {}
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
@@ -133,7 +138,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def _codec(vocabulary: list[bytes], pattern: str, proto: bytes) -> Codec:
-    """A worker's codec; it outlives a task, and so does what it remembers."""
+    """A worker's codec; it outlives a task."""
     if (key := hash((pattern, proto))) not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(vocabulary, pattern, proto)
@@ -172,6 +177,8 @@ def encode_documents(docs: DataFrame, vocabulary: list[bytes], pattern: str, id_
                     cols += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["raw"], pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        codec.forget()
+        C.trim()
 
     from pyspark.sql import functions as F
 
