@@ -127,7 +127,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = ranked.where(F.col("rank") <= share).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("rank").alias("_order")).orderBy("_order", "_lang").limit(max(sample, LEAST * n))
     got = C.sample_texts(docs, ids, id_col, text_col)
     got = got.take(pc.sort_indices(got, sort_keys=[("_id", "ascending")]))
-    return fit(got.column("_text").combine_chunks(), got.column("_lang").to_pylist())
+    model = fit(got.column("_text").combine_chunks(), got.column("_lang").to_pylist())
+    del got
+    C.trim()
+    return model
 
 
 def predict(model: Model, table: np.ndarray, off: np.ndarray, data: np.ndarray) -> tuple[list[str], np.ndarray]:

@@ -196,7 +196,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = C.sample_texts(docs, ids, id_col, text_col)
     order = pc.sort_indices(got, sort_keys=[("_id", "ascending")])
     got = got.take(order)
-    return fit(got.column("_text").combine_chunks(), np.array(got.column("_label").to_pylist(), float))
+    model = fit(got.column("_text").combine_chunks(), np.array(got.column("_label").to_pylist(), float))
+    del got
+    C.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
