@@ -175,7 +175,8 @@ def _(t: Timeline) -> Query:
     ticks = P.FilterBuilder(valid, t["load_start"].clock()).filter_true().build_clock_filter()
     later = (start > start.prior_value(ticks)) & (end > end.prior_value(ticks))
     took = P.cond((mobile, length), [(later, length)], t.const(-1))
-    clock = P.FilterBuilder(took > 0, ticks).filter_true().build_clock_filter()
+    # only valid loads count: else a mobile view without a start would let through the tick of a load that was passed over before
+    clock = P.FilterBuilder((took > 0) & valid, ticks).filter_true().build_clock_filter()
     q = Query(t)
     for name, scope in (("session", session), ("navigation", navigation)):
         _summary(q, scope, name, "load", clock.count_changes(), took, clock)
