@@ -139,7 +139,7 @@ def run(query: Query, key: str, ts: str | None, carried: dict[str, str]) -> Data
     arrow = to_arrow_schema(schema)
     merge, extras = line.merge, [f"_c_{c}" for c in carried]
     rows = line.rows.withColumns(line._next(N.ordered(list(query.roots().values()))))
-    rows = rows.repartition(L.KEY).sortWithinPartitions(L.KEY, L.TS, L.SEQ)
+    rows = (line.spread(rows) or rows.repartition(L.KEY)).sortWithinPartitions(L.KEY, L.TS, L.SEQ)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

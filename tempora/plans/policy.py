@@ -81,6 +81,7 @@ class Query:
         """key, ts (ns), carried columns, metrics: a row for each measurement that is let out.
 
         how: windows, fold, or auto: windows wherever every node has that form."""
+        self.line.measured()
         if how == "fold" or (how == "auto" and self.folded):
             return fold.run(self, key, ts, carried or {})
         return self._windows(key, ts, carried or {})

@@ -180,7 +180,7 @@ def _or(x: Column, default: Any) -> Column:
     return x if default is None else F.coalesce(x, L.lit(default))
 
 
-def computed(df: DataFrame, parts: dict[str, Part]) -> DataFrame:
+def computed(line: Timeline, df: DataFrame, parts: dict[str, Part]) -> DataFrame:
     """df with a column for each part. Entities that aren't cut have the chunk -1 alone; only those that are have
     summaries, of SHARES chunks or so."""
     if not parts:
@@ -188,7 +188,7 @@ def computed(df: DataFrame, parts: dict[str, Part]) -> DataFrame:
     names = {n: f"_p{i}" for i, n in enumerate(parts)}
     local = {f"{p}l": parts[n].local for n, p in names.items()} | {f"{p}t": parts[n].told for n, p in names.items() if parts[n].told is not None}
     given = [c for c in df.columns if c not in parts]
-    df = stored(df.withColumns(local))
+    df = stored((line.spread(df, CHUNK) or df).withColumns(local))
     cut = df.where(F.col(CHUNK) >= 0)
     plain = {p: parts[n].summary.alias(p) for n, p in names.items() if parts[n].told is None}
     summaries = cut.groupBy(L.KEY, CHUNK).agg(F.count(F.lit(1)).alias("_n"), *plain.values())
@@ -247,7 +247,7 @@ class Splitter:
                 parts[n] = latest(x.isNotNull(), x, f.initial)
             parts[f"{n}__clock"] = running(F.lit(1) if f.volatile else x, "count")
         parts[L.FOLLOW] = self.follow()
-        df = computed(self.chunked(line.rows), parts).withColumns(volatile)
+        df = computed(line, self.chunked(line.rows), parts).withColumns(volatile)
         if line.merge:
             df = df.where(F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != F.col(L.TS)))
         names = [*[n for n in parts if n != L.FOLLOW], *volatile]
@@ -268,7 +268,7 @@ class Splitter:
                 cols.append(n.lower(*[cols[j] for j in own]))
             depth.append(d)
         for d in sorted(layers):
-            df = computed(df, layers[d])
+            df = computed(self.line, df, layers[d])
         return df, [cols[number[id(r)]] for r in roots]
 
     def insert(self, df: DataFrame, names: list[str], timers: list[N.Timer]) -> DataFrame:
@@ -287,7 +287,7 @@ class Splitter:
         parts[L.FOLLOW] = self.follow()
         if measured:
             parts[MEASURE] = latest(F.col(MEASURE), F.col(L.TS), -1)
-        rows = computed(rows, parts)
+        rows = computed(self.line, rows, parts)
         if measured:
             rows = rows.withColumn(MEASURE, F.col(MEASURE) == F.col(L.TS))
         rows = rows.where(F.col(L.EXT) | F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != F.col(L.TS)))
@@ -299,4 +299,4 @@ class Splitter:
             f"_b_{c}": Part(F.struct(F.lag(F.struct(F.col(c).alias("v"))).over(_within()).alias("v"), _first_in_chunk().alias("first")), _last_row(F.col(c)), lambda s: F.last(s, ignorenulls=True).over(_earlier()), lambda a, c_: F.when(a["first"], c_).otherwise(a["v"]))
             for c in cols
         }
-        return computed(df, parts)
+        return computed(self.line, df, parts)

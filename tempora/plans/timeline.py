@@ -24,6 +24,8 @@ from tempora.plans import nodes as N
 from tempora.plans.split import Splitter
 
 MEASURE, LAST, FIRST = "_measure", "_last", "_first"
+#: Rows that one task sorts, about. Spark's own number of tasks follows bytes as shuffled, far fewer than a window's sort holds.
+SHARE = 200_000
 
 
 @dataclass(frozen=True)
@@ -192,7 +194,7 @@ class Signal:
 class Timeline:
     def __init__(self, rows: DataFrame, fields: dict[str, Field], merge: bool, carried: Sequence[str], split: int | None = None) -> None:
         self.rows, self.fields, self.merge, self.carried, self.split = rows, fields, merge, list(carried), split
-        self._ahead, self._splitter = 0, None
+        self._ahead, self._splitter, self._parts = 0, None, None
 
     @classmethod
     def of(cls, events: DataFrame, key: str, ts: str, seq: Sequence[str], fields: dict[str, Field], merge: bool = True, carried: Sequence[str] = (), split: int | None = None) -> Timeline:
@@ -245,6 +247,18 @@ class Timeline:
 
     # lowering
 
+    def measured(self) -> None:
+        """Count the rows, if there is an end of them, so that spread() bounds those of a task."""
+        if self._parts is None and not self.rows.isStreaming:
+            self._parts = -(-self.rows.count() // SHARE)
+
+    def spread(self, df: DataFrame, *by: str) -> DataFrame | None:
+        """df by key (and more columns) in partitions of SHARE rows or so, entities whole; None if it is one task's or wasn't measured."""
+        n = self._parts or 0
+        if n <= 1:
+            return None
+        return df.repartition(max(n, min(df.sparkSession.sparkContext.defaultParallelism, 4 * n)), L.KEY, *by)
+
     def _next(self, nodes: list[N.Node]) -> dict[str, Column]:
         after = L.moments().rowsBetween(1, Window.unboundedFollowing)
         return {n.name: F.coalesce(F.min(F.when(n.live, F.col(L.TS))).over(after), F.lit(N.NEVER)) for n in nodes if isinstance(n, N.Next)}
@@ -258,7 +272,7 @@ class Timeline:
             new[n] = F.coalesce(x, F.lit(f.initial)) if f.volatile else L.held(x, f.initial)
             new[f"{n}__clock"] = F.count(F.lit(1)).over(L.so_far()) if f.volatile else L.clock(x)
         new[L.FOLLOW] = F.lead(L.TS).over(L.moments())
-        df = self.rows.withColumns(new)
+        df = (self.spread(self.rows) or self.rows).withColumns(new)
         if self.merge:
             df = df.where(F.col(L.FOLLOW).isNull() | (F.col(L.FOLLOW) != F.col(L.TS)))
         names = [n for n in new if n != L.FOLLOW]

@@ -6,9 +6,14 @@ import os
 from datetime import datetime, timedelta
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tempora import catalog
+from tempora.plans import inspect, suite, timeline
+from tempora.plans.policy import Query
 
+DIR = "/root/testdata/sf0.001"
 START = datetime(2024, 1, 1)
 
 
@@ -29,3 +34,28 @@ def test_a_load_without_a_start_is_none(spark, tmp_path):
     got, want = rows(spark, tmp_path, "app_page_load", [(13821, 1, "view"), (16631, 1, "view"), (24000, 1, "view"), (24516, 1, "error"), (13780, 2, "view"), (58000, 2, "view")])
     assert got == want
     assert len(got) == 6
+
+
+@pytest.mark.parametrize("how, split", [("windows", None), ("fold", None), ("windows", 60)])
+def test_a_task_gets_a_bounded_number_of_rows(spark, monkeypatch, how, split):
+    """1000 events of 15 users, in tasks of 100 or so: the same results, and no task sorts them all."""
+
+    def build(split=None):
+        t = suite.timeline(spark, DIR, "k", split=split)
+        return Query(t).metric("m", t["k"].has_changed("6h").count_changes())
+
+    want = sorted(map(tuple, build().run("u", "t", {"event_id": "e"}, how="windows").collect()))
+    monkeypatch.setattr(timeline, "SHARE", 100, raising=False)
+    df = build(split).run("u", "t", {"event_id": "e"}, how=how)
+    assert sorted(map(tuple, df.collect())) == want and len(want) == 1000
+    if split:  # its last depth was stored: the plan that is left reads it
+        return
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 400
+
+
+def test_streams_and_checks_count_nothing(spark):
+    """Only a run counts rows; a stream has no end."""
+    t = suite.timeline(spark, DIR, "k")
+    q = Query(t).metric("m", t["k"])
+    assert inspect.verify(q) == [] and t.spread(t.rows) is None
