@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
+from types import FunctionType
 from typing import Any
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -41,6 +42,7 @@ class Node:
     windowed = False
     folded = False
     nullable = False
+    run = False  # whether its window begins anew with each value of its last input, which takes a sort of its own
     ahead = 0  # how far the node looks into the future, in ns
 
     def key(self) -> tuple:
@@ -62,6 +64,17 @@ def _hashable(v: Any) -> Any:
     return (type(v).__name__, repr(v)) if isinstance(v, (int, str, float, bool, tuple, type(None))) else id(v)
 
 
+def _text(f: Any, seen: tuple = ()) -> Any:
+    """What tells a pure function from others: its text and what it holds. A lambda is made anew at each call of what is around it."""
+    if not isinstance(f, FunctionType) or id(f) in seen:
+        return _hashable(f)
+    try:
+        held = [c.cell_contents for c in f.__closure__ or ()]
+    except ValueError:  # a name that isn't set yet
+        return id(f)
+    return (f.__code__, id(f.__globals__), *(_text(x, (*seen, id(f))) for x in (*held, *(f.__defaults__ or ()), *(f.__kwdefaults__ or {}).values())))
+
+
 @dataclass
 class Moment:
     """What a fold knows at a moment."""
@@ -158,6 +171,9 @@ class Apply(Node):
     py: Callable[..., Any] | None = None
     total: bool = False  # never null unless an input is
 
+    def key(self) -> tuple:
+        return (type(self).__name__, _text(self.f), _hashable(self.default), self.total)
+
     @property
     def nullable(self) -> bool:  # type: ignore[override]
         return not self.total or any(i.nullable for i in self.inputs)
@@ -219,6 +235,10 @@ class Hold(Node):
 
     windowed = True
 
+    @property
+    def run(self) -> bool:  # type: ignore[override]
+        return len(self.inputs) == 3
+
     @property
     def nullable(self) -> bool:  # type: ignore[override]
         return self.default is None or self.inputs[1].nullable
@@ -246,6 +266,10 @@ class Before(Node):
     windowed = True
     nullable = True
 
+    @property
+    def run(self) -> bool:  # type: ignore[override]
+        return len(self.inputs) == 3
+
     def lower(self, at: Column, x: Column, *run: Column) -> Column:
         return F.last(F.when(at, x), ignorenulls=True).over(_span(list(run)).rowsBetween(Window.unboundedPreceding, -1))
 
@@ -268,6 +292,10 @@ class Total(Node):
     nullable = True
     how: str = "sum"
 
+    @property
+    def run(self) -> bool:  # type: ignore[override]
+        return len(self.inputs) == 2
+
     def lower(self, x: Column, *run: Column) -> Column:
         return {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[self.how](x).over(_span(list(run)))
 
@@ -571,3 +599,12 @@ def canonical(roots: list[Node]) -> tuple[list[Node], dict[int, int]]:
             nodes.append(n)
         number[id(n)] = found[k]
     return nodes, number
+
+
+def read_by_windows(nodes: list[Node], number: dict[int, int]) -> set[int]:
+    """The numbers of the nodes (as canonical() gives them) that a window needs."""
+    out: set[int] = set()
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i].windowed or i in out:
+            out.update(number[id(x)] for x in nodes[i].inputs)
+    return out

@@ -284,12 +284,13 @@ class Timeline:
         cols: list[Column] = []
         depth: list[int] = []
         layers: dict[int, dict[str, Column]] = {1: dict(extra or {})}
+        read = N.read_by_windows(nodes, number)
         for i, n in enumerate(nodes):
             own = [number[id(x)] for x in n.inputs]
             expr = n.lower(*[cols[j] for j in own])
             d = max([depth[j] for j in own], default=0)
             if n.windowed:
-                d += 1
+                d = len(nodes) + 1 if n.run and i not in read else d + 1  # windows in runs at last, lest the others sort again
                 layers.setdefault(d, {})[f"_n{i}"] = expr
                 expr = F.col(f"_n{i}")
             cols.append(expr)

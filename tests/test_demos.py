@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora import catalog
+from tempora.operators import processors as P
 from tempora.plans import inspect, suite, timeline
+from tempora.plans import nodes as N
 from tempora.plans.policy import Query
 
 DIR = "/root/testdata/sf0.001"
@@ -59,3 +61,20 @@ def test_streams_and_checks_count_nothing(spark):
     t = suite.timeline(spark, DIR, "k")
     q = Query(t).metric("m", t["k"])
     assert inspect.verify(q) == [] and t.spread(t.rows) is None
+
+
+def test_equal_functions_are_one_node(spark):
+    """Scopes that are written twice are computed once, so that their windows share a sort; other values or texts aren't one."""
+    t = suite.timeline(spark, DIR, "k", "v")
+    same = [t["v"].cast("int"), t["v"].cast("int"), t["k"].parse("int"), t["k"].parse("int"), P.scope_run(t["k"]), P.scope_run(t["k"])]
+    other = [t["v"].cast("bigint"), t["k"].parse("int", 5), t["k"].starts_with("a"), t["k"].starts_with("b"), t["v"].map(lambda c: c + 1, 0.0), t["v"].map(lambda c: c + 2, 0.0)]
+    number = N.canonical([s.node for s in same + other])[1]
+    got = [number[id(s.node)] for s in same + other]
+    assert got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len(set(got)) == 9
+
+
+@pytest.mark.parametrize("name, sorts", [("app_startup", 4), ("app_page_load", 4), ("app_network", 4)])
+def test_sorts_of_scoped_metrics(spark, name, sorts):
+    """One sort for the events, one for the timers' moments, one for each scope, none to go back."""
+    plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") <= sorts
